@@ -134,7 +134,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     width = min(k, n)
     h = np.zeros(n - width + 1, np.uint64)
     for j in range(width):
-        h = mix64(h + words[j : j + n - width + 1] + np.uint64(j + 1) * _GOLD)
+        h = mix64(h + words[j : j + n - width + 1] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     return mix64(h + np.uint64(width))
 
 

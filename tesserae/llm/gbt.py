@@ -47,20 +47,20 @@ class FlatForest:
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Fit sigmoid(a * margin + b) by Newton steps on smoothed targets; ``a`` stays positive."""
+    """Fit sigmoid(a * margin + b) by Newton steps on smoothed targets, with a ridge that draws ``a`` to 1."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = _sigmoid(a * margin + b)
         w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - t) * margin).sum(), (p - t).sum()])
-        h = np.array([[(w * margin * margin).sum(), (w * margin).sum()], [(w * margin).sum(), w.sum()]]) + 1e-3 * np.eye(2)
+        g = np.array([((p - t) * margin).sum() + (a - 1), (p - t).sum()])
+        h = np.array([[(w * margin * margin).sum(), (w * margin).sum()], [(w * margin).sum(), w.sum()]]) + np.diag([1.0, 1e-3])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-7:
             break
-    return (a, b) if a > 0 and np.isfinite(a + b) else (1.0, 0.0)
+    return (float(a), float(b)) if 0 < a < 100 and np.isfinite(a + b) else (1.0, 0.0)
 
 
 def train(x, y, *, rounds=60, depth=3, rate=0.2, bins=64, min_rows=5, l2=1.0, monotone=None, holdout=0.2, seed=7) -> FlatForest:
