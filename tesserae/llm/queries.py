@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, pii, quality, toxicity
+from . import bpe, chat, flac, mixing, pii, quality, toxicity
 from .common import table
 
 
@@ -41,5 +41,9 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score_documents(docs, toxicity.fit_labels(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_quality_rules, op5_chat_formatting, op6_source_mixing, op7_byte_bpe, op9_toxicity)}
+def op10_flac(spark, sf_dir):
+    return flac.media_column(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_quality_rules, op5_chat_formatting, op6_source_mixing, op7_byte_bpe, op9_toxicity, op10_flac)}
 ORACLE_SQL: dict[str, str] = {}
