@@ -1,5 +1,306 @@
-"""N-gram Jaccard join (see below)."""
+"""N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix, with size-derived bounds.
 
+Two documents link if their sets of five-word shingles overlap by 0.75 of their union or more. The product of the
+incidence matrix with its transpose holds all overlaps; it is computed in blocks and only where bounds allow a link:
 
-def keep_one(docs):
-    raise NotImplementedError
+1. Columns (shingle hashes) are dealt out in blocks. A block counts which of its columns have two rows or more, and a
+   document is left only if at least 0.75 of its own columns do: a smaller overlap can't reach the bound. Columns that
+   recur within a batch of documents are counted there and sent once, so a shingle of every document is no hot key.
+2. Documents of equal sets are one row from here on.
+3. Left rows order their columns by frequency, rarest first. Linked rows share a column among the first
+   n - ceil(0.75 n) + 1, and only these columns are multiplied. Overlaps are first found for each row with a few pivots
+   of its columns, which joins groups of near copies without all pairs; then, in columns whose rows are not yet in one
+   component, every row outside the main component meets the others. Pairs whose sizes or positions bound the
+   overlap below the needed one are discarded; the others get their exact overlap count.
+
+Links within a component that is already known are not needed for the components, and are not counted.
+
+Cases: null, empty and wordless texts have no shingles and link with nothing; texts of fewer than five words are one
+shingle; repeated rows and ids are rows of one class; a null id is never a component's id unless all are null; an empty
+table gives an empty table; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch, lower_ascii, shingle_hashes, slices, span_hashes, word_spans
+from .graph import components
+
+#: Words in a shingle; percent of the union that must be shared.
+WORDS, PERCENT = 5, 75
+#: Bytes of input (as the planner knows it) for one block of columns.
+BLOCK_BYTES = 6 << 20
+#: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Pivots of a group in the first and the second round.
+PIVOTS = (4, 16)
+_NO_OWNER = 0xFFFF
+_BATCH_DOCS = 60_000
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    data = lower_ascii(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
+    return np.unique(shingle_hashes(span_hashes(data, *word_spans(data)), WORDS))
+
+
+def _need(n):
+    """ceil(0.75 n): the least overlap of a set of n with any partner."""
+    return F.ceil(F.col(n) * PERCENT / 100).cast("long")
+
+
+_FIRST = "kind int, batch long, idx int, doc_id long, n long, fp_a long, fp_b long, md5 string, shared long, tokens binary, owners binary"
+
+
+def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of documents (kind -1) and, for every batch and block of columns (kind), its columns and their owners."""
+    schema_names = [c.split()[0] for c in _FIRST.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        types = dict(zip(schema_names, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True))
+        count = TaskContext.get().partitionId() << 32
+        for arrow in batches:
+            for ids, texts in slices(arrow.column(0).to_pylist(), arrow.column(1).to_pylist(), 4_000_000):
+                for at in range(0, len(ids), _BATCH_DOCS):
+                    keys, some = ids[at : at + _BATCH_DOCS], texts[at : at + _BATCH_DOCS]
+                    sets = [shingles(t) for t in some]
+                    sizes = np.array([len(s) for s in sets], np.int64)
+                    tokens = np.concatenate(sets)
+                    owners = np.repeat(np.arange(len(sets)), sizes)
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, owners = tokens[order], owners[order]
+                    first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, bool)
+                    group = np.cumsum(first) - 1
+                    twice = np.bincount(group, minlength=1)[group] > 1 if len(tokens) else first
+                    shared = np.bincount(owners[twice], minlength=len(sets))
+                    owners = np.where(twice, _NO_OWNER, owners)[first].astype(np.uint16)
+                    tokens = tokens[first]
+                    block = (tokens >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+                    low = tokens.astype(np.uint32)
+                    edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+                    fp_a = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
+                    fp_b = [int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)).view(np.int64)) if len(s) else 0 for s in sets]
+                    md5 = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in some]
+                    m = len(sets)
+                    columns = [[-1] * m, [count] * m, list(range(m)), keys, sizes.tolist(), fp_a, fp_b, md5, shared.tolist(), [None] * m, [None] * m]
+                    full = [b for b in range(blocks) if edges[b] < edges[b + 1]]
+                    k = len(full)
+                    more = [full, [count] * k] + [[None] * k] * 7 + [[low[edges[b] : edges[b + 1]].tobytes() for b in full], [owners[edges[b] : edges[b + 1]].tobytes() for b in full]]
+                    count += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c + d, t) for c, d, t in zip(columns, more, types.values(), strict=True)], names=schema_names)
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _FIRST)
+
+
+def _runs(batches, key: int):
+    """Rows of sorted Arrow batches, gathered by the value of column ``key``."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if rows and row[key] != now:
+                yield now, rows
+                rows = []
+            now = row[key]
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def _recurring(blobs: DataFrame) -> DataFrame:
+    """(batch, owners) of the columns that two batches hold, block by block."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for _, rows in _runs(batches, 0):
+            tokens = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+            order = np.argsort(tokens, kind="stable")
+            ordered = tokens[order]
+            same = np.concatenate(([False], ordered[1:] == ordered[:-1], [False]))
+            hit = np.zeros(len(tokens), bool)
+            hit[order] = same[1:] | same[:-1]
+            at, batch, owners = 0, [], []
+            for r in rows:
+                own = np.frombuffer(r[3], np.uint16)
+                got = own[hit[at : at + len(own)] & (own != _NO_OWNER)]
+                at += len(own)
+                if len(got):
+                    batch.append(r[1])
+                    owners.append(got.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array(owners, pa.binary())], names=["batch", "owners"])
+
+    return blobs.mapInArrow(run, "batch long, owners binary")
+
+
+def _counted(replies: DataFrame) -> DataFrame:
+    """(batch, idx, more): how many of a document's columns recur in other batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch, rows in _runs(batches, 0):
+            owners, counts = np.unique(np.concatenate([np.frombuffer(r[1], np.uint16) for r in rows]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(owners), pa.int64()), pa.array(owners.astype(np.int32)), pa.array(counts.astype(np.int64))], names=["batch", "idx", "more"])
+
+    return replies.mapInArrow(run, "batch long, idx int, more long")
+
+
+def _sets(docs: DataFrame, left: DataFrame, id_col: str, text_col: str, few: bool) -> DataFrame:
+    """(node, n, tokens) of the classes in ``left``: their texts are fetched by id and shingled again."""
+    ids = left.select(F.col("first_id").alias("__first")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).cast("string").alias("__text"))
+    texts = texts.join(F.broadcast(ids) if few else ids, F.col("__own").eqNullSafe(F.col("__first")), "left_semi")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, some in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 4_000_000):
+                sets = [s for s in map(shingles, some) if len(s)]
+                a = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                b = [int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)).view(np.int64)) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp_a", "fp_b", "n", "tokens"])
+
+    found = texts.mapInArrow(run, "fp_a long, fp_b long, n long, tokens array<long>")
+    nodes = left.select("node", "fp_a", "fp_b", "n")
+    joined = found.join(F.broadcast(nodes) if few else nodes, ["fp_a", "fp_b", "n"])
+    # Repeated ids bring a class more than once.
+    return joined.groupBy("node", "n").agg(F.first("tokens").alias("tokens"))
+
+
+def _entries(sets: DataFrame) -> DataFrame:
+    """(token, node, n, pos): the columns to multiply, with their place in the row's order."""
+    every = sets.select("node", "n", F.explode("tokens").alias("token"))
+    often = every.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    rows = every.join(often, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("own"))
+    rows = rows.withColumn("alone", F.col("n") - F.size("own")).where(F.size("own") >= _need("n"))
+    prefix = F.col("n") - _need("n") + 1 - F.col("alone")
+    rows = rows.where(prefix > 0).select("node", "n", "alone", F.posexplode(F.slice("own", F.lit(1), prefix.cast("int"))).alias("i", "t"))
+    return rows.select(F.col("t.token").alias("token"), "node", "n", (F.col("alone") + F.col("i")).alias("pos"))
+
+
+def _possible(a: str, b: str):
+    """The size and position bounds on a pair's overlap. ``a`` and ``b`` prefix n and pos."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    least = F.ceil((na + nb) * PERCENT / (100 + PERCENT))
+    rest = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (rest >= least)
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact overlap links them."""
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b")
+    overlap = F.size(F.array_intersect("ta", "tb"))
+    union = F.size("ta") + F.size("tb") - overlap
+    return both.where(100 * overlap >= PERCENT * union).select("a", "b")
+
+
+def classes_and_labels(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"):
+    """(rows, components, scratch): a row per document with its class, and class to component id."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ngram")
+    size = int(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    blocks = max(16, min(1 << 24, -(-min(size, 1 << 50) // BLOCK_BYTES)))
+    scanned = scratch.keep(_scan(docs, blocks, id_col, text_col))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 100_000))
+    blobs = scanned.where("kind >= 0").select("kind", "batch", "tokens", "owners").repartition(parts, "kind").sortWithinPartitions("kind")
+    replies = _recurring(blobs).repartition("batch").sortWithinPartitions("batch")
+    rows = scanned.where("kind = -1").drop("kind", "tokens", "owners")
+    counted = rows.join(_counted(replies), ["batch", "idx"], "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0))).drop("more")
+    rows = scratch.keep(counted)
+    scratch.drop(scanned)
+    classes = rows.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("first_id"), F.max("shared").alias("shared"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+    left = classes.where(F.col("shared") >= _need("n"))
+    few = left.count() <= BROADCAST_ROWS
+    sets = scratch.keep(_sets(docs, left, id_col, text_col, few))
+    entries = scratch.keep(_entries(sets))
+    labels = _label(entries, sets, scratch)
+    scratch.drop(entries, sets)
+    # The component's id is the smallest document id of its classes.
+    known = classes.join(labels, "node") if labels is not None else None
+    if known is not None:
+        best = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
+        found = known.join(best, "label").select("fp_a", "fp_b", "n", "component_id")
+        classes = classes.join(found, ["fp_a", "fp_b", "n"], "left").withColumn("component_id", F.coalesce("component_id", "first_id"))
+    else:
+        classes = classes.withColumn("component_id", F.col("first_id"))
+    joined = rows.join(classes.select("fp_a", "fp_b", "n", F.col("component_id").alias("c")), ["fp_a", "fp_b", "n"], "left")
+    return joined.withColumn("component_id", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id"))).drop("c"), scratch
+
+
+def _label(entries: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, label) of all linked nodes."""
+    links = labels = None
+    for i, pivots in enumerate(PIVOTS):
+        open_ = _open(entries, labels)
+        salt = F.xxhash64("node", F.lit(i), F.pmod("token", F.lit(pivots)))
+        pivot = open_.groupBy("token").agg(F.min(F.struct(salt.alias("h"), "node", "n", "pos", "label")).alias("p"))
+        pivot = pivot.select("token", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.label").alias("plabel"))
+        met = open_.join(pivot, "token").where((F.col("label") != F.col("plabel")) & _possible("", "p"))
+        pairs = met.select(F.greatest("node", "pnode").alias("a"), F.least("node", "pnode").alias("b")).distinct()
+        new = scratch.keep(_links(pairs, sets))
+        links = new if links is None else scratch.keep(links.unionByName(new))
+        labels = scratch.keep(components(links, scratch))
+    open_ = scratch.keep(_open(entries, labels))
+    counts = open_.groupBy("token", "label").agg(F.count("*").alias("k"))
+    main = counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
+    marked = open_.join(main, "token")
+    minor = marked.where("label <> main").select("token", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "label")])
+    met = marked.join(minor, "token").where((F.col("label") != F.col("xlabel")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("xnode"))) & _possible("", "x"))
+    pairs = met.select(F.greatest("node", "xnode").alias("a"), F.least("node", "xnode").alias("b")).distinct()
+    rest = scratch.keep(_links(pairs, sets))
+    if not rest.limit(1).count():
+        return labels
+    return scratch.keep(components(links.unionByName(rest), scratch))
+
+
+def _open(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries with labels, in columns whose rows have more than one label."""
+    if labels is None:
+        return entries.withColumn("label", F.col("node"))
+    named = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    return named.join(mixed, "token", "left_semi")
+
+
+def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: id, n_shingles, component_id (the smallest id reachable by links)."""
+    rows, _ = classes_and_labels(docs, id_col=id_col, text_col=text_col)
+    return rows.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one of smallest id, of equal ids the one of smallest MD5.
+
+    Documents without shingles stay. Rows that agree in id and text are one document.
+    """
+    rows, scratch = classes_and_labels(docs, id_col=id_col, text_col=text_col)
+    rows = scratch.keep(rows.where("n > 0").select("doc_id", "md5", "component_id", "fp_a", "fp_b"))
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat_ws(":", "fp_a", "fp_b"))
+    rows = rows.withColumn("group", group)
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "md5")).alias("best"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "md5")
+    best_key = F.concat_ws(":", F.coalesce(F.col("best.doc_id").cast("string"), F.lit("")), "best.md5")
+    joined = rows.join(best, "group").groupBy(key.alias("key")).agg(F.max((key == best_key).cast("int")).alias("stays"), F.count("*").alias("rows"))
+    keys = scratch.keep(joined.where("stays = 0 or rows > 1"))
+    text_md5 = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    own = docs.withColumn("__key", F.concat_ws(":", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), text_md5))
+    few = keys.count() <= BROADCAST_ROWS
+    size = (lambda d: F.broadcast(d)) if few else (lambda d: d)
+    out = own.join(size(keys.select(F.col("key").alias("__key"))), "__key", "left_anti")
+    again = keys.where("stays = 1").select(F.col("key").alias("__key"))
+    if again.limit(1).count():
+        out = out.unionByName(own.join(size(again), "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.select(*docs.columns)
