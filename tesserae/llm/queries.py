@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, mixing, pii, quality, toxicity
+from . import bpe, chat, flac, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
 from .common import table
 
 
@@ -12,11 +12,19 @@ def op1_pii(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.fit_labels(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_suffix_array(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -45,5 +53,5 @@ def op10_flac(spark, sf_dir):
     return flac.media_column(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_quality_rules, op5_chat_formatting, op6_source_mixing, op7_byte_bpe, op9_toxicity, op10_flac)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_quality_rules, op4_suffix_array, op5_chat_formatting, op6_source_mixing, op7_byte_bpe, op9_toxicity, op10_flac)}
 ORACLE_SQL: dict[str, str] = {}
