@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
+from . import bpe, chat, flac, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -44,6 +44,16 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark, sf_dir):
+    """Every document with three edits: words put in the middle, the first five characters cut, the last one replaced."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    place = lambda seq, start, end, new: F.struct(F.lit(seq).cast("long").alias("seq"), start.alias("start"), end.alias("end"), F.lit(new).alias("replacement"))
+    middle = F.floor(n / 2)
+    edits = F.array(place(0, middle, middle, " an inserted clause,"), place(1, F.lit(0).cast("long"), F.lit(5).cast("long"), ""), place(2, n + 14, n + 15, "!\n"))
+    return token_counts.count_tokens(docs.select("doc_id", "text", edits.alias("edits")))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit_labels(docs, table(spark, sf_dir, "labels")))
@@ -53,5 +63,5 @@ def op10_flac(spark, sf_dir):
     return flac.media_column(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_quality_rules, op4_suffix_array, op5_chat_formatting, op6_source_mixing, op7_byte_bpe, op9_toxicity, op10_flac)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_quality_rules, op4_suffix_array, op5_chat_formatting, op6_source_mixing, op7_byte_bpe, op8_token_counts, op9_toxicity, op10_flac)}
 ORACLE_SQL: dict[str, str] = {}
