@@ -524,6 +524,10 @@ def get(ctx, obj, key, default=None):
     return Value(F.when(F.map_contains_key(m.col, text0(key)), found).otherwise(rest.col.cast(t)), t)
 
 
+def _later_wins(a, b):
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
 @verb("merge", 2)
 def merge(ctx, *objs):
     maps = [as_map(o) for o in objs if not o.is_null]
@@ -531,8 +535,7 @@ def merge(ctx, *objs):
     cast = [F.coalesce(m.col.cast(T.MapType(T.StringType(), t)), F.create_map().cast(T.MapType(T.StringType(), t))) for m in maps]
     out = cast[0]
     for m in cast[1:]:
-        # Entries of the later object win.
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
+        out = _later_wins(out, m)
     return Value(out, T.MapType(T.StringType(), t))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,8 +221,6 @@ def _ordered(ctx, name):
         raise CompileError(f"{name} needs an order of all rows: not on a stream")
     if not ctx.order:
         raise CompileError(f"{name} needs the order of rows: give order=")
-    from pyspark.sql import Window
-
     return Window.partitionBy(*ctx.partition).orderBy(*ctx.order)
 
 
@@ -235,7 +234,7 @@ def accumulate(ctx, name, v):
     """The accumulator after this row: its start and all values up to here."""
     key = str(need_literal(name, "an accumulator's name"))
     start = ctx.accumulators.get(key, 0)
-    w = _ordered(ctx, "accumulate").rowsBetween(-(1 << 31), 0)
+    w = _ordered(ctx, "accumulate").rowsBetween(Window.unboundedPreceding, 0)
     ctx.used.add(key)
     whole = integral(v) and isinstance(start, int)
     total = F.lit(float(start or 0)) + F.coalesce(F.sum(number(v)).over(w), F.lit(0.0))

@@ -95,7 +95,7 @@ def log(ctx, v, base):
 
 
 verb("isFinite", 1)(lambda ctx, v: bool_value(F.coalesce(~F.isnan(number(v)) & (F.abs(number(v)) < INF), F.lit(False))))
-verb("isNaN", 1)(lambda ctx, v: bool_value(F.coalesce(F.isnan(number(v)), F.lit(True))))
+verb("isNaN", 1)(lambda ctx, v: bool_value(number(v).isNull() | F.isnan(number(v))))
 
 
 @verb("parseInt", 2)
