@@ -10,7 +10,7 @@ incidence matrix with its transpose holds all overlaps; it is computed in blocks
 3. Left rows order their columns by frequency, rarest first. Linked rows share a column among the first
    n - ceil(0.75 n) + 1, and only these columns are multiplied. Overlaps are first found for each row with a few pivots
    of its columns, which joins groups of near copies without all pairs; then, in columns whose rows are not yet in one
-   component, every row outside the main component meets the others. Pairs whose sizes or positions bound the
+   component, every row outside the main component meets the others, each pair in its first common column. Pairs whose sizes or positions bound the
    overlap below the needed one are discarded; the others get their exact overlap count.
 
 Links within a component that is already known are not needed for the components, and are not counted.
@@ -256,10 +256,13 @@ def _label(entries: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame |
     open_ = scratch.keep(_open(entries, labels))
     counts = open_.groupBy("token", "label").agg(F.count("*").alias("k"))
     main = counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
-    marked = open_.join(main, "token")
-    minor = marked.where("label <> main").select("token", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "label")])
-    met = marked.join(minor, "token").where((F.col("label") != F.col("xlabel")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("xnode"))) & _possible("", "x"))
-    pairs = met.select(F.greatest("node", "xnode").alias("a"), F.least("node", "xnode").alias("b")).distinct()
+    # Every entry knows its row's earlier columns, so that a pair is made in its first common column only.
+    prefix = open_.groupBy("node").agg(F.collect_list(F.struct("pos", "token")).alias("prefix"))
+    marked = open_.join(prefix, "node").withColumn("before", F.transform(F.filter("prefix", lambda e: e.pos < F.col("pos")), lambda e: e.token)).drop("prefix").join(main, "token")
+    minor = marked.where("label <> main").select("token", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "label", "before")])
+    once = (F.col("label") != F.col("xlabel")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("xnode"))) & _possible("", "x") & ~F.arrays_overlap("before", "xbefore")
+    met = marked.join(minor.withColumnRenamed("token", "xtoken"), (F.col("token") == F.col("xtoken")) & once)
+    pairs = met.select(F.greatest("node", "xnode").alias("a"), F.least("node", "xnode").alias("b"))
     rest = scratch.keep(_links(pairs, sets))
     if not rest.limit(1).count():
         return labels
