@@ -35,6 +35,8 @@ from .graph import components
 WORDS, PERCENT = 5, 75
 #: Bytes of input (as the planner knows it) for one block of columns.
 BLOCK_BYTES = 6 << 20
+#: Code points shingled at a time; a longer text is a slice of its own.
+SLICE = 1_500_000
 #: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Pivots of a group in the first and the second round.
@@ -69,7 +71,7 @@ def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
         types = dict(zip(schema_names, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True))
         count = TaskContext.get().partitionId() << 32
         for arrow in batches:
-            for ids, texts in slices(arrow.column(0).to_pylist(), arrow.column(1).to_pylist(), 4_000_000):
+            for ids, texts in slices(arrow.column(0).to_pylist(), arrow.column(1).to_pylist(), SLICE):
                 for at in range(0, len(ids), _BATCH_DOCS):
                     keys, some = ids[at : at + _BATCH_DOCS], texts[at : at + _BATCH_DOCS]
                     sets = [shingles(t) for t in some]
@@ -164,7 +166,7 @@ def _sets(docs: DataFrame, left: DataFrame, id_col: str, text_col: str, few: boo
         import pyarrow as pa
 
         for batch in batches:
-            for _, some in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 4_000_000):
+            for _, some in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), SLICE):
                 sets = [s for s in map(shingles, some) if len(s)]
                 a = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 b = [int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)).view(np.int64)) for s in sets]

@@ -51,7 +51,7 @@ def op8_token_counts(spark, sf_dir):
     place = lambda seq, start, end, new: F.struct(F.lit(seq).cast("long").alias("seq"), start.alias("start"), end.alias("end"), F.lit(new).alias("replacement"))
     middle = F.floor(n / 2)
     edits = F.array(place(0, middle, middle, " an inserted clause,"), place(1, F.lit(0).cast("long"), F.lit(5).cast("long"), ""), place(2, n + 14, n + 15, "!\n"))
-    return token_counts.count_tokens(docs.select("doc_id", "text", edits.alias("edits")))
+    return token_counts.count_tokens(docs.select("doc_id", "text", edits.alias("edits")), edits_col="edits")
 
 
 def op9_toxicity(spark, sf_dir):

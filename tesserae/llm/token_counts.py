@@ -146,11 +146,11 @@ class Counter:
         tree.replace(first, last, head[0] + [len(p) for p in fresh] + tail[0], head[1] + self.count(fresh) + tail[1])
 
 
-def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | None = None, pattern: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | None = None, pattern: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
     """Per row: id, n_tokens, n_tokens_edited, n_pre_tokens and n_encoded_again (pre-tokens that edits made be encoded).
 
-    ``edits``: (id, seq, start, end, replacement), in code points; or ``docs`` brings an ``edits`` array of such structs
-    (seq, start, end, replacement). A document's edits are gathered in its row.
+    ``edits``: (id, seq, start, end, replacement), in code points; or ``docs`` has an array of such structs
+    (seq, start, end, replacement) in ``edits_col``. A document's edits are gathered in its row.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -161,8 +161,8 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | No
     if edits is not None:
         lists = edits.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))).cast(edit).alias("__edits"))
         rows = docs.join(lists, F.col(id_col) == F.col("__id"), "left").select(id_col, F.col(text_col).cast("string"), "__edits")
-    elif "edits" in docs.columns:
-        rows = docs.select(id_col, F.col(text_col).cast("string"), F.array_sort("edits").cast(edit).alias("__edits"))
+    elif edits_col is not None:
+        rows = docs.select(id_col, F.col(text_col).cast("string"), F.array_sort(edits_col).cast(edit).alias("__edits"))
     else:
         rows = docs.select(id_col, F.col(text_col).cast("string"), F.lit(None).cast(edit).alias("__edits"))
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), *StructType.fromDDL("n_tokens long, n_tokens_edited long, n_pre_tokens long, n_encoded_again long")])
