@@ -1,0 +1,375 @@
+"""Small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against plain-Python rules."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.llm import bpe, chat, flac, gbt, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n long, token string, component_id string"
+
+
+def table(spark, texts, ids=None):
+    ids = ids or list(range(len(texts)))
+    rows = [(i, t, "en", f"s{k % 3}" if k % 4 else None, len(t or ""), 7, 8, "x", "y") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base, other = prose(1, 120), prose(2, 300)
+    words = base.split()
+    near = [" ".join(w if i % 40 != k else "zz" for i, w in enumerate(words)) for k in range(12)]
+    return [None, "", " \n\t", "one two", "one two", base, base, base.upper(), *near, other, other + " tail", base + "\n" + other, "é" * 3000, prose(3, 40_000), "0" * 500, "ab" * 450]
+
+
+def test_empty_tables(spark):
+    docs = table(spark, ["x"]).where("false")
+    for f in (pii.find_pii, bpe.encode_texts, ngram_join.join_documents, suffix_dedup.remove_repeats, mixing.mix, flac.media_column, token_counts.count_tokens, ngram_join.keep_one, mixing.repeat_documents, pii.redact_documents):
+        assert f(docs).count() == 0
+
+
+# 1
+
+
+PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in re.finditer(p, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if (k == 1 and any(int(x) > 255 for x in m[0].split("."))) or (k == 2 and not (14 <= len(digits) <= 19 and pii.luhn(digits))) or (k == 3 and not 10 <= len(digits) <= 15):
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice("aZ09.1 -+()@@25٣\n") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == plain_spans(text), text
+    assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("a.b@" * 50_000) == []
+
+
+def test_pii_keeps_base_and_adds_written_out_addresses(spark):
+    texts = ["mail a.b@c.org or +1 (017) 555-7713", "write to jane.doe (at) example (dot) com please", "cats at home.", None, "4111 1111 1111 1111 and 10.0.0.1", "call me on (555) 123-4567 today"]
+    rows = {r.doc_id: r for r in pii.find_pii(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = plain_spans(t)
+        assert rows[i].base_sha256 == hashlib.sha256(pii.listed(base).encode()).hexdigest()
+        assert set(pii.listed(base).split(",")) - {""} <= set(rows[i].spans.split(","))
+    assert rows[1].n_added == 1 and rows[1].n_email == 0 and rows[5].n_added == 1
+    assert rows[2].spans == "" and rows[3].spans == ""
+    out = {r.doc_id: r for r in pii.redact_documents(table(spark, texts)).collect()}
+    assert out[0].text == "mail <EMAIL> or <PHONE>" and out[0].n_chars == len(out[0].text) and out[3].text is None and "example" not in out[1].text and out[2].text == texts[2]
+
+
+# 2
+
+
+def plain_components(rows):
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split(rb"[\x20\x09-\x0d]+", (t or "").encode().lower()) if x]
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            u = len(sets[i] & sets[j])
+            if u and 100 * u >= 75 * (len(sets[i]) + len(sets[j]) - u):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = collections.defaultdict(lambda: 1 << 60)
+    for (key, _), x in zip(rows, label, strict=True):
+        least[x] = min(least[x], key)
+    return [(key, len(s), least[x]) for (key, _), s, x in zip(rows, sets, label, strict=True)]
+
+
+def test_ngram_join(spark, texts):
+    ids = [100 - i for i in range(len(texts))]
+    got = sorted(tuple(r) for r in ngram_join.join_documents(table(spark, texts, ids)).collect())
+    assert got == sorted(plain_components(list(zip(ids, texts, strict=True))))
+
+
+def test_keep_one(spark, texts):
+    rows = list(zip(range(len(texts)), texts, strict=True)) + [(5, texts[5]), (5, texts[5])]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = sorted({c for _, n, c in plain_components(rows) if n} | {i for i, t in rows if not (t or "").split()})
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
+
+
+def test_ngram_hot_group_with_outliers(spark):
+    words = prose(9, 150).split()
+    rng = random.Random(1)
+    near = [" ".join(w if rng.random() > 0.02 else prose(rng.random(), 1) for w in words) for _ in range(120)]
+    rows = list(enumerate(near + ["same text over and over again now"] * 60))
+    got = sorted(tuple(r) for r in ngram_join.join_documents(table(spark, [t for _, t in rows])).collect())
+    assert got == sorted(plain_components(rows))
+
+
+# 3
+
+
+def plain_quality(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover)
+
+
+def test_quality_statistics(texts):
+    rng = random.Random(2)
+    samples = [t for t in texts if len(t or "") < 5000] + ["".join(rng.choice("ab é\n\t # |\x0b<　") for _ in range(rng.randint(0, 80))) for _ in range(800)]
+    for t in samples:
+        assert quality.statistics(t)[0] == plain_quality(t), repr(t)
+
+
+def test_quality_verdicts(spark):
+    good, bad = [prose(i, 60) + "." for i in range(60)], [" | ".join(prose(i + 500, 1) + "***" for i in range(k, k + 50)) for k in range(60)]
+    docs = table(spark, good + bad + [None, "short text", "same words again and here now " * 40])
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(0, 120, 2)] + [(None, 1), (1, None)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality.assess(docs, quality.fit_labels(docs, labels)).collect()}
+    assert sum(rows[i].kept for i in range(60)) >= 58 and sum(rows[i].kept for i in range(60, 120)) <= 2
+    assert rows[120].base_failed and rows[121].base_failed and rows[122].base_failed and not rows[122].kept
+
+
+def test_trees_are_monotonic():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 3))
+    y = (x[:, 0] + 0.3 * rng.standard_normal(600) > 0.5).astype(int)
+    f = gbt.train(x, y, rounds=30, monotone={0: 1, 1: -1})
+    grid = np.tile(rng.random((50, 1, 3)), (1, 40, 1))
+    grid[:, :, 0] = np.linspace(0, 1, 40)
+    assert (np.diff(f.margin(grid.reshape(-1, 3)).reshape(50, 40), axis=1) >= -1e-12).all()
+    assert ((f.probability(x) > 0.5) == y).mean() > 0.75
+
+
+# 4
+
+
+def plain_repeats(rows):
+    raw = [(t or "").encode() for _, t in rows]
+    c = collections.Counter(r[i : i + 400] for r in raw for i in range(len(r) - 399))
+    out = []
+    for (key, _), r in zip(rows, raw, strict=True):
+        gone = bytearray(len(r))
+        for i in range(len(r) - 399):
+            if c[r[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(r, gone, strict=True) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((key, len(r), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(spark, texts):
+    passage = prose(7, 90)
+    texts = [t for t in texts if len(t or "") < 50_000] + [prose(20, 50) + passage + prose(21, 60), passage[3:] + prose(22, 10), prose(23, 80) + passage, passage[:399], prose(24, 10) + passage[:401] + prose(25, 5)]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(table(spark, texts)).collect())
+    assert got == sorted(plain_repeats(rows))
+
+
+def test_suffix_ranks_and_prefixes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 700).astype(np.uint8)
+    rank = suffix_dedup.suffix_ranks(data, 20)
+    keys = [data[i : i + 20].tobytes() for i in range(len(data))]
+    order = sorted(range(len(data)), key=lambda i: keys[i])
+    assert all((rank[a] == rank[b]) == (keys[a] == keys[b]) and rank[a] <= rank[b] for a, b in zip(order, order[1:], strict=False))
+    a = np.arange(0, 600)
+    b = rng.integers(0, 700, 600)
+    want = [next((k for k in range(20) if max(i, j) + k >= 700 or data[i + k] != data[j + k]), 20) for i, j in zip(a, b, strict=True)]
+    assert suffix_dedup.common_prefixes(data, a, b, 20).tolist() == want
+
+
+# 5
+
+
+def test_chat_round_trip(spark):
+    said = "</s>[INST] ok [/INST] \\s\\l <s>[a]"
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, None, None), (1, 0, "user", "b"), (1, 1, "assistant", ""), (2, 5, "assistant", "x\ny"), (2, 5, "assistant", "x\ny"), (None, 0, "user", "lone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.format_conversations(df))).collect()}
+    for key in {r[0] for r in rows}:
+        own = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == key))
+        every, loss = "".join(f"{r}\n{x}\n" for _, r, x in own), "".join(x for _, r, x in own if r == "assistant")
+        g = got[key]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(own), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.digests(chat.read_back(chat.format_conversations(df.where("false")))).count() == 0
+
+
+def test_chat_events_are_folded(spark):
+    log = [(1, 0, "message", "user", "hi", None), (1, 1, "message", "assistant", "He", None), (1, 2, "delta", None, "llo", None), (1, 3, "regenerate", None, None, None), (1, 4, "delta", None, "Good day", None), (1, 5, "edit", None, "hello there", 0)]
+    df = spark.createDataFrame(log, "conv_id long, seq long, op string, role string, text string, target long").repartition(3)
+    got = [(r.msg, r.role, r.text) for r in chat.reconstruct(df).orderBy("msg").collect()]
+    assert got == [(0, "user", "hello there"), (1, "assistant", "Good day")]
+
+
+# 6
+
+
+def test_mixing(spark):
+    texts = [prose(i, 5 + (i * 37) % 90) for i in range(400)] + [None, "", " "]
+    docs = table(spark, texts)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 403
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size and r.size == len((texts[r.doc_id] or "").split())
+        by[r.source].append(r)
+    order = sorted((s for s in by if s is not None)) + [None]
+    want = mixing.water_fill([(s, sum(r.size for r in by[s])) for s in order])
+    for s, own in by.items():
+        assert all(abs(r.target - want[s]) < 1e-6 * want[s] for r in own)
+        assert abs(sum(r.taken for r in own) - want[s]) <= 0.01 * want[s]
+    again = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect()}
+    assert again == {(r.doc_id, r.source): r.copies for r in rows}
+    repeated = mixing.repeat_documents(docs)
+    assert repeated.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in repeated.select("doc_id").collect()) == collections.Counter({r.doc_id: r.copies for r in rows if r.copies})
+
+
+# 7 and 8
+
+
+def plain_codec():
+    import tiktoken
+
+    ranks = {w: i for i, w in enumerate(bpe.load_ranks(bpe.default_path()))}
+    return tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(spark, texts):
+    codec = plain_codec()
+    rows = {r.doc_id: r for r in bpe.encode_texts(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        ids = codec.encode_ordinary(t or "")
+        assert rows[i].n_tokens == len(ids)
+        assert rows[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_bpe_fuzz():
+    codec, own, rng = plain_codec(), bpe.codec(bpe.default_path(), bpe.default_pattern()), random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab  \n\t'sé1٣.!　\x1c\x85 漢") for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == codec.encode_ordinary(t), repr(t)
+
+
+def test_token_counts_follow_edits(spark, texts):
+    codec = plain_codec()
+    docs = table(spark, texts)
+    rng = random.Random(8)
+    edits = [(i, s, rng.randint(0, 300), rng.randint(0, 300), rng.choice([None, "", " a\n", "the 12"])) for i in range(len(texts)) for s in range(4)] + [(999, 0, 0, 1, "x")]
+    rows = {r.doc_id: r for r in token_counts.count_tokens(docs, spark.createDataFrame(edits, "doc_id long, seq long, start long, end long, replacement string")).collect()}
+    for i, t in enumerate(texts):
+        text = t or ""
+        for e in sorted(e for e in edits if e[0] == i):
+            a = min(e[2], len(text))
+            text = text[:a] + (e[4] or "") + text[min(max(e[3], a), len(text)) :]
+        assert rows[i].n_tokens == len(codec.encode_ordinary(t or "")) and rows[i].n_tokens_edited == len(codec.encode_ordinary(text))
+    assert rows[len(texts) - 3].n_encoded_again < rows[len(texts) - 3].n_pre_tokens / 10
+
+
+# 9
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    toxic = [" ".join([*prose(i, 30).split(), rng.choice(["zorgbad", "zorgbads", "vilemuck"]), "zorgbad"]) for i in range(200)]
+    clean = [prose(1000 + i, 32) for i in range(300)]
+    docs = table(spark, toxic + clean + [None, "", "you zorgbadd thing"])
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(500)] + [(None, 1), (3, None), (3, 1)], "doc_id long, toxic int")
+    model = toxicity.fit_labels(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(rows[i].held_out == (i in held) for i in range(500))
+    assert np.mean([rows[i].predicted == (i < 200) for i in held]) > 0.9
+    assert rows[502].score > 0.3 and all(0 <= r.score <= 1 for r in rows.values())
+    kept = {r.doc_id for r in toxicity.reject(docs, model).select("doc_id").collect()}
+    assert kept == {i for i, r in rows.items() if not r.predicted}
+
+
+# 10
+
+
+def test_flac(spark, texts):
+    rows = {r.doc_id: r for r in flac.media_column(table(spark, texts), media=True).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        n = max(1, -(-len(raw) // 576)) * 576
+        payload = raw + b"\xff" * (n - len(raw))
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
+    media = spark.createDataFrame([(1, bytes(rows[20].media))], "doc_id long, media binary")
+    blocks = flac.pcm_blocks(media).orderBy("block").collect()
+    assert b"".join(bytes(b.pcm) for b in blocks).translate(bytes(x ^ 128 for x in range(256))).startswith((texts[20] or "").encode()[:100])
+    assert [b.first_sample for b in blocks] == [576 * k for k in range(len(blocks))]
+
+
+def test_flac_signals_and_damage():
+    rng = np.random.default_rng(1)
+    payloads = [bytes(576), rng.integers(0, 256, 576 * 5, dtype=np.uint8).tobytes(), (128 + 100 * np.sin(np.arange(576 * 3) / 20)).astype(np.uint8).tobytes(), bytes([0] * 575 + [255]), bytes([128] * 570 + [0, 255] * 3)]
+    streams = flac.encode_many(payloads)
+    assert flac.decode_many(streams) == payloads
+    broken = bytearray(streams[2])
+    broken[-20] ^= 4
+    with pytest.raises(ValueError, match="checksum"):
+        flac.decode_many([bytes(broken)])
+    # CRC-16 with the polynomial 0x8005, bit by bit.
+    c = 0
+    for b in b"123456789":
+        c ^= b << 8
+        for _ in range(8):
+            c = ((c << 1) ^ 0x8005 if c & 0x8000 else c << 1) & 0xFFFF
+    assert flac.crc16(np.frombuffer(b"123456789", np.uint8), np.array([0]), np.array([9]))[0] == c
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import Row  # noqa: F401
+
+    toxic = [prose(i, 30) + " zorgbad zorgbad" for i in range(120)]
+    clean = [prose(5000 + i, 60) for i in range(160)]
+    texts = toxic + clean + [clean[0], clean[1] + " more", "mail a.b@c.org " + prose(77, 40), None]
+    docs = table(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 120)) for i in range(280)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, names = spark.read.parquet(f"{tmp_path}/documents.parquet"), docs.columns
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{len(seen)}")
+        now = spark.read.parquet(f"{tmp_path}/{len(seen)}")
+        seen[name] = now
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert now.columns == names
+    ids = {n: {r.doc_id for r in d.select("doc_id").collect()} for n, d in seen.items()}
+    assert len(ids["toxicity"] & set(range(120))) <= 6 and len(ids["toxicity"] & set(range(120, 280))) >= 155
+    assert 280 not in ids["n-gram Jaccard join"] and 281 not in ids["n-gram Jaccard join"]
+    assert seen["pii"].where(F.col("text").contains("a.b@c.org")).count() == 0
+    assert seen["byte-level bpe"].count() == seen["mixing sources"].count() > 0
