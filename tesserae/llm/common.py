@@ -138,6 +138,19 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(h + np.uint64(width))
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that idle Python workers don't hold it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(keys, texts, most: int):
     """Runs of rows of a batch with ``most`` code points at a time, one row at least; null texts stay None."""
     key_run, text_run, size = [], [], 0
@@ -177,5 +190,6 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, worker,
                 rows = [(k, *r) for k, r in zip(keys, process(texts), strict=True) if r is not None]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            release()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)

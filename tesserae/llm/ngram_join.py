@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, shingle_hashes, slices, span_hashes, word_spans
+from .common import Scratch, lower_ascii, release, shingle_hashes, slices, span_hashes, word_spans
 from .graph import components
 
 #: Words in a shingle; percent of the union that must be shared.
@@ -99,6 +99,7 @@ def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
                     more = [full, [count] * k] + [[None] * k] * 7 + [[low[edges[b] : edges[b + 1]].tobytes() for b in full], [owners[edges[b] : edges[b + 1]].tobytes() for b in full]]
                     count += 1
                     yield pa.RecordBatch.from_arrays([pa.array(c + d, t) for c, d, t in zip(columns, more, types.values(), strict=True)], names=schema_names)
+            release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _FIRST)
 
@@ -139,6 +140,7 @@ def _recurring(blobs: DataFrame) -> DataFrame:
                     batch.append(r[1])
                     owners.append(got.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array(owners, pa.binary())], names=["batch", "owners"])
+        release()
 
     return blobs.mapInArrow(run, "batch long, owners binary")
 
@@ -171,6 +173,7 @@ def _sets(docs: DataFrame, left: DataFrame, id_col: str, text_col: str, few: boo
                 a = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 b = [int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)).view(np.int64)) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp_a", "fp_b", "n", "tokens"])
+            release()
 
     found = texts.mapInArrow(run, "fp_a long, fp_b long, n long, tokens array<long>")
     nodes = left.select("node", "fp_a", "fp_b", "n")
