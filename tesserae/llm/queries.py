@@ -64,4 +64,12 @@ def op10_flac(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_quality_rules, op4_suffix_array, op5_chat_formatting, op6_source_mixing, op7_byte_bpe, op8_token_counts, op9_toxicity, op10_flac)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries hold trained models, components, suffix arrays, encoders or Newton's method, which SQL does not
+#: express; tests/llm hold them against brute force.
+ORACLE_SQL = {
+    "op5_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(9 + length(regexp_replace(role, '[\\<\[\]]', 'xx', 'g')) + length(regexp_replace(text, '[\\<\[\]]', 'xx', 'g')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id""",
+}
