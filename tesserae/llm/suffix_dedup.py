@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, _TABLE, mix64, powers, slices
+from .common import _TABLE, Scratch, mix64, powers, release, slices
 from .ngram_join import BROADCAST_ROWS, _runs
 
 LENGTH, GRAM = 400, 200
@@ -93,7 +93,8 @@ def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
             for ids, texts in slices(arrow.column(0).to_pylist(), arrow.column(1).to_pylist(), 4_000_000):
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
                 found = [segments(r) for r in raws]
-                keys = np.concatenate([f[0] for f in found])
+                # Anchors are minima, so they crowd near zero: scrambled, they spread over the blocks.
+                keys = mix64(np.concatenate([f[0] for f in found]))
                 owner = np.repeat(np.arange(len(raws)), [len(f[0]) for f in found])
                 runs = np.stack([owner, np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])], 1).astype(np.int64)
                 sure = np.concatenate([f[3] for f in found])
@@ -117,6 +118,7 @@ def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
                 ]
                 count += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _ROW.split(", ")])
+            release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _ROW)
 
@@ -325,11 +327,11 @@ def _marked(pieces: DataFrame) -> DataFrame:
             data, owner, place, start = _pieces(texts)
             hit = np.isin(window_hashes(data, LENGTH)[start], repeated) if len(start) else np.zeros(0, bool)
             out = []
+            edges = np.searchsorted(owner, np.arange(len(texts) + 1))
             for d, (md5, raw, _) in enumerate(texts):
-                covered = np.zeros(len(raw) + 1, np.int64)
-                own = place[hit & (owner == d)]
-                np.add.at(covered, own, 1)
-                np.add.at(covered, own + LENGTH, -1)
+                part = slice(edges[d], edges[d + 1])
+                own = place[part][hit[part]]
+                covered = np.bincount(own, minlength=len(raw) + 1) - np.bincount(own + LENGTH, minlength=len(raw) + 1)
                 gone = np.cumsum(covered)[:-1] > 0
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
