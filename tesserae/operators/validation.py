@@ -198,6 +198,8 @@ def _documents(rows: DataFrame, schema: Schema) -> DataFrame | None:
             continue
         if f.condition is not None:
             name, op, value, negated = f.condition
+            # A bare name is a field beside the one it conditions.
+            name = name if "." in name or "." not in f.path else f"{f.path.rpartition('.')[0]}.{name}"
             text, number = column(("text", name), _value_of(name, "text")), column(("number", name), _value_of(name, "number"))
             hit = _compare(text, number, op, value)
             hit = ~hit if negated else hit
