@@ -62,7 +62,7 @@ def test_base_spans_match_the_patterns():
     for _ in range(4000):
         text = "".join(rng.choice("aZ09.1 -+()@@25٣\n") for _ in range(rng.randint(0, 40)))
         assert pii.base_spans(text) == plain_spans(text), text
-    assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("a.b@" * 50_000) == []
+    assert pii.base_spans("1" * 200_000) == [] and len(pii.base_spans("a.b@" * 50_000)) == 25_000
 
 
 def test_pii_keeps_base_and_adds_written_out_addresses(spark):
