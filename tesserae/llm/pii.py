@@ -79,7 +79,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 # Generators: bounded repeats only, so each is linear in the text.
 _TLD = r"(?:com|org|net|edu|gov|info|io|de|fr|es)"
 GENERATORS = (
-    (0, re.compile(rf"(?<![\w.])[A-Za-z][A-Za-z0-9._+-]{{1,30}}\s?(?:\(at\)|\[at\]|\{{at\}}| at )\s?[A-Za-z0-9-]{{2,30}}(?:\s?(?:\(dot\)|\[dot\]|\{{dot\}}| dot )\s?[A-Za-z0-9-]{{2,20}}){{0,2}}\s?(?:\(dot\)|\[dot\]|\{{dot\}}| dot |\.){_TLD}(?!\w)", re.I)),
+    (0, re.compile(rf"(?<![\w.])[A-Za-z][A-Za-z0-9._+-]{{1,30}}\s?(?:\(at\)|\[at\]|\{{at\}}| at )\s?[A-Za-z0-9-]{{2,30}}(?:\s?(?:\(dot\)|\[dot\]|\{{dot\}}| dot )\s?[A-Za-z0-9-]{{2,20}}){{0,2}}\s?(?:\(dot\)|\[dot\]|\{{dot\}}| dot |\.)\s?{_TLD}(?!\w)", re.I)),
     (1, re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     (2, re.compile(r"(?<![\w.+])[0-9]{4}([./_ -]{1,2})[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}(?![\w.])")),
     (3, re.compile(r"(?<![\w.+-])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![\w-])")),
@@ -142,7 +142,7 @@ def _examples(seed: int = 11, rows: int = TRAIN_ROWS):
                 cue = str(rng.choice(CUES[kind]))
                 sep = str(rng.choice([" ", ".", "-"]))
                 if kind == 0:
-                    a, b = rng.choice([["(at)", "(dot)"], ["[at]", "[dot]"], [" at ", " dot "], ["{at}", "{dot}"]])
+                    a, b = rng.choice([["(at)", "(dot)"], [" (at) ", " (dot) "], ["[at]", "[dot]"], [" [at] ", " [dot] "], [" at ", " dot "], ["{at}", "{dot}"]])
                     if label:
                         span = f"{rng.choice(filler)}{digits(2) if rng.random() < 0.5 else ''}{a}{rng.choice(filler)}{b}{rng.choice(['com', 'org', 'net', 'de'])}"
                     else:
