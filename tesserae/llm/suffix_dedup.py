@@ -30,7 +30,7 @@ from .ngram_join import BROADCAST_ROWS, _runs
 
 LENGTH, GRAM = 400, 200
 #: Bytes of input for one block of anchors or fingerprints, and bytes of text in a shard.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 3 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 3 << 19
 _NO_OWNER = 0xFFFFFFFF
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BASE2 = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -96,7 +96,7 @@ def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
                 # Anchors are minima, so they crowd near zero: scrambled, they spread over the blocks.
                 keys = mix64(np.concatenate([f[0] for f in found]))
                 owner = np.repeat(np.arange(len(raws)), [len(f[0]) for f in found])
-                runs = np.stack([owner, np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])], 1).astype(np.int64)
+                runs = np.stack([owner, np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])], 1).astype(np.int32)
                 sure = np.concatenate([f[3] for f in found])
                 order = np.argsort(keys, kind="stable")
                 ordered = keys[order]
@@ -146,14 +146,14 @@ def _recurring(blobs: DataFrame) -> DataFrame:
 
 
 def _candidates(replies: DataFrame) -> DataFrame:
-    """(batch, idx, runs): first and last starts, as pairs of 64-bit numbers, whose anchors recur."""
+    """(batch, idx, runs): first and last starts, as pairs of 32-bit numbers, whose anchors recur."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch, rows in _runs(batches, 0):
             own = next(r for r in rows if r[1] == -2)
-            runs, sure = np.frombuffer(own[2], np.int64).reshape(-1, 3), np.frombuffer(own[3], bool).copy()
+            runs, sure = np.frombuffer(own[2], np.int32).reshape(-1, 3), np.frombuffer(own[3], bool).copy()
             for r in rows:
                 if r[1] == 0:
                     sure[np.frombuffer(r[2], np.uint32)] = True
@@ -242,7 +242,7 @@ def _pieces(rows):
     """Texts of a shard cut to their candidate runs: bytes, and for every allowed start its document and place there."""
     parts, owner, place, start, base = [], [], [], [], 0
     for d, (_, raw, runs) in enumerate(rows):
-        pairs = np.frombuffer(runs, np.int64).reshape(-1, 2)
+        pairs = np.frombuffer(runs, np.int32).reshape(-1, 2).astype(np.int64)
         pairs = pairs[np.argsort(pairs[:, 0])]
         # Neighbouring or overlapping texts of runs stay one piece.
         cut = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] > pairs[:-1, 1] + LENGTH)))
@@ -288,6 +288,8 @@ def _shards(pieces: DataFrame, blocks: int) -> DataFrame:
             full = [b for b in range(blocks) if edges[b] < edges[b + 1]]
             out = [np.sort(prints[again]).tobytes()] + [prints[by[edges[b] : edges[b + 1]]].tobytes() for b in full]
             yield pa.RecordBatch.from_arrays([pa.array([-1, *full], pa.int32()), pa.array([shard] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["block", "shard", "prints"])
+            del data, rank, order, before, has, prefix, prints, block
+            release()
 
     return pieces.mapInArrow(run, "block int, shard long, prints binary")
 
@@ -339,6 +341,7 @@ def _marked(pieces: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[]] * 5
             types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["md5", "n_removed", "n_spans", "kept_sha256", "kept"])
+            release()
 
     return pieces.mapInArrow(run, "md5 string, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
@@ -357,9 +360,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     blobs = scanned.where("kind >= 0").select("kind", "batch", "keys", "owners").repartition(parts, "kind").sortWithinPartitions("kind")
     replies = _recurring(blobs).unionByName(scanned.where("kind = -2").select("batch", "kind", "keys", "owners"))
     found = _candidates(replies.repartition("batch").sortWithinPartitions("batch"))
-    rows = scanned.where("kind = -1").select("batch", "idx", "doc_id", "n_bytes", "md5", "sha")
+    rows = scratch.keep(scanned.where("kind = -1").select("batch", "idx", "doc_id", "n_bytes", "md5", "sha"))
     texts = rows.groupBy("md5").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
     chosen = scratch.keep(found.join(rows, ["batch", "idx"]).groupBy("md5").agg(F.first("runs").alias("runs"), F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n_bytes")))
+    scratch.drop(scanned)
     stats = chosen.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     few, shards = stats[0] <= BROADCAST_ROWS, max(1, -(-stats[1] // SHARD_BYTES))
     small = (lambda d: F.broadcast(d)) if few else (lambda d: d)
