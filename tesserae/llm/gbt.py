@@ -50,17 +50,26 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Fit sigmoid(a * margin + b) by Newton steps on smoothed targets, with a ridge that draws ``a`` to 1."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    def loss(a, b):
+        z = a * margin + b
+        return (np.logaddexp(0, z) - t * z).sum() + 0.5 * (a - 1) ** 2 + 5e-3 * b * b
+
     a, b = 1.0, 0.0
-    for _ in range(50):
+    best = loss(a, b)
+    for _ in range(60):
         p = _sigmoid(a * margin + b)
         w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - t) * margin).sum() + (a - 1), (p - t).sum()])
-        h = np.array([[(w * margin * margin).sum(), (w * margin).sum()], [(w * margin).sum(), w.sum()]]) + np.diag([1.0, 1e-3])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-7:
+        g = np.array([((p - t) * margin).sum() + (a - 1), (p - t).sum() + 1e-2 * b])
+        h = np.array([[(w * margin * margin).sum() + 1, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-2]])
+        step, size = np.linalg.solve(h, g), 1.0
+        # A step that doesn't lower the loss is halved.
+        while size > 1e-4 and not loss(a - size * step[0], b - size * step[1]) < best:
+            size /= 2
+        if size <= 1e-4:
             break
-    return (float(a), float(b)) if 0 < a < 100 and np.isfinite(a + b) else (1.0, 0.0)
+        a, b = a - size * step[0], b - size * step[1]
+        best = loss(a, b)
+    return (float(a), float(b)) if a > 0 and np.isfinite(a + b) else (1.0, 0.0)
 
 
 def train(x, y, *, rounds=60, depth=3, rate=0.2, bins=64, min_rows=5, l2=1.0, monotone=None, holdout=0.2, seed=7) -> FlatForest:
