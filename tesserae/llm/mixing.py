@@ -19,7 +19,7 @@ Ties are broken by id, so reruns agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
@@ -35,8 +35,13 @@ REPAIRS = 5
 NONE = "n"
 
 
-def sizes(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+def word_count(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def named(column: str) -> Column:
+    """A key that is never null: an s and the value's text, or ``NONE``."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit(NONE))
 
 
 def water_fill(sources: list[tuple[str | None, int]], share: float = SHARE, cap: float = CAP) -> dict:
@@ -110,7 +115,7 @@ def _solve(sizes_: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row: id, size, source_size, target, rate, copies, taken (= copies * size)."""
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = scratch.keep(sizes(docs, text_col=text_col).select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(NONE)).alias("source"), "size"))
+    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), named(source_col).alias("source"), word_count(text_col).alias("size")))
     pairs = scratch.keep(rows.groupBy("source", "size").agg(F.count("*").alias("rows")))
     per_source = pairs.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     state = _solve(pairs, _targets(per_source), scratch)
@@ -170,13 +175,13 @@ def _repair(full: DataFrame, scratch: Scratch) -> DataFrame:
 def repeat_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row repeated by its copies (none to ``CAP``); all columns stay.
 
-    Rows are matched by id, source and size; rows that agree in all three share their copies as the mix gave them out.
+    Rows are matched by id, source and size; rows that agree in all three are interchangeable to the mix.
     """
+    key = ["__id", "__source", "__size"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    identity = {"__id": named(id_col), "__source": named(source_col)}
     copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    keys = {"__id": F.coalesce(F.concat(F.lit("s"), F.col(id_col).cast("string")), F.lit(NONE)), "__source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(NONE))}
-    order = Window.partitionBy("__id", "__source", "__size").orderBy(F.lit(1))
-    plan = copies.withColumns(keys).withColumnRenamed("size", "__size").withColumn("__k", F.row_number().over(order)).select("__id", "__source", "__size", "__k", F.col("copies").alias("__copies"))
-    sized = sizes(docs, text_col=text_col).withColumn("__size", F.col("size")) if "size" not in docs.columns else sizes(docs.withColumnRenamed("size", "__own"), text_col=text_col).withColumnsRenamed({"size": "__size", "__own": "size"})
-    rows = sized.withColumns(keys).withColumn("__k", F.row_number().over(order))
-    joined = rows.join(plan, ["__id", "__source", "__size", "__k"])
-    return joined.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    plan = copies.withColumns(identity | {"__size": F.col("size")}).withColumn("__nth", nth).select(*key, "__nth", F.col("copies").cast("int").alias("__copies"))
+    rows = docs.withColumns(identity | {"__size": word_count(text_col)}).withColumn("__nth", nth)
+    joined = rows.join(plan, [*key, "__nth"])
+    return joined.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
