@@ -64,7 +64,6 @@ def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
     schema_names = [c.split()[0] for c in _FIRST.split(", ")]
 
     def run(batches):
-        import pandas as pd
         import pyarrow as pa
         from pyspark import TaskContext
 

@@ -351,7 +351,6 @@ def test_flac_signals_and_damage():
 
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
-    from pyspark.sql import Row  # noqa: F401
 
     toxic = [prose(i, 30) + " zorgbad zorgbad" for i in range(120)]
     clean = [prose(5000 + i, 60) for i in range(160)]
