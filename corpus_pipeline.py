@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from tesserae.llm import bpe, mixing, ngram_join, pii, toxicity
 from tesserae.llm.common import Scratch, table
-from pyspark.sql import functions as F
 
 
 def toxicity_stage(spark, docs, sf_dir):

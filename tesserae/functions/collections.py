@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import (
-    FLOATS, INTEGERS, NUMBERS, VERBS, CompileError, Value, array, array_value, bool_value, common_type, const, double_value, element, is_object, item, long_value, member, need_literal, number, number0, numbers, text,
+    INTEGERS, NUMBERS, VERBS, CompileError, Value, array, array_value, bool_value, common_type, const, double_value, element, is_object, item, long_value, member, need_literal, number, number0, numbers, text,
     text0, text_value, truthy, verb,
 )
 
@@ -448,11 +448,6 @@ def mode(ctx, arr):
     return Value(F.get(a.col, (F.array_position(counts, F.array_max(counts)) - 1).cast("int")), element(a))
 
 
-def _pairs(a, b):
-    """Positions at which both arrays have numbers."""
-    return F.filter(F.arrays_zip(_numbers(a).alias("x"), _numbers(b).alias("y")), lambda p: p.getField("0").isNotNull() & p.getField("1").isNotNull())
-
-
 def _sides(a, b):
     xs, ys = _numbers(a), _numbers(b)
     n = F.least(F.size(xs), F.size(ys))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import NUMBERS, Value, bool_value, const, long_value, need_literal, number, number0, text, text0, text_value, verb
+from .kernel import NUMBERS, Value, bool_value, const, long_value, need_literal, number, text, text0, text_value, verb
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 #: Forms tried after ISO, in order (fixed values).

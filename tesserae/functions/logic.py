@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import (
-    FLOATS, INTEGERS, NUMBERS, CompileError, Value, array_value, bool_value, cast_to, common_type, const, double_value, integral, is_object, item, long_value, need_literal, number, number0, same, text, text0,
+    FLOATS, INTEGERS, NUMBERS, CompileError, Value, array_value, bool_value, cast_to, common_type, const, double_value, integral, is_object, long_value, need_literal, number, number0, same, text0,
     text_value, truthy, verb,
 )
 from .strings import BLANKS

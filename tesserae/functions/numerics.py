@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Value, array, bool_value, const, double_value, element, item, long_value, need_literal, number, number0, numbers, numeric_type, text, text0, text_value, verb
+from .kernel import Value, array, bool_value, const, double_value, item, long_value, need_literal, number, number0, numbers, numeric_type, text, text0, text_value, verb
 
 INF = float("inf")
 
@@ -111,10 +111,6 @@ def parse_int(ctx, s, radix=None):
     return long_value(F.when(text(s).isNotNull(), sign * F.when(found == "", F.lit(0)).otherwise(value)))
 
 
-def fixed(v, n):
-    return F.format_string(f"%.{n}f", rounded(v, n))
-
-
 def fixed_text(v, n, *, factor=1):
     x = number(v) if factor == 1 else number(v) * factor
     return F.when(x.isNotNull(), F.format_string(f"%.{n}f", F.round(x, n)))

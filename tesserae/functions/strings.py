@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Value, array, array_value, bool_value, const, element, item, long_value, need_literal, number, number0, optional, text, text0, text_value, verb
+from .kernel import Value, array_value, bool_value, const, item, long_value, need_literal, number, text, text0, text_value, verb
 
 BLANKS = " \t\n\r\x0b\x0c\x00"
 

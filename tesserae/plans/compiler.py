@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import collections, dates, logic, numerics, strings  # noqa: F401  (they register the verbs)
-from ..functions.kernel import VERBS, CompileError, Context, Value, array, array_value, cast_to, common_type, const, element, integral, item, long_value, member, number, number0, same, text, text0, text_value, truthy
+from ..functions.kernel import VERBS, CompileError, Context, Value, array_value, cast_to, common_type, const, element, integral, item, long_value, member, number, number0, same, text, text0, text_value, truthy
 from .mapping import Build, Call, Copy, Literal, Mapping, Plan, Segment, parse, parse_expression
 
 #: Verbs of the text language that users add: name to builder.
@@ -70,8 +70,6 @@ class Compiler:
         verb = VERBS.get(expr.verb)
         if verb is None:
             raise CompileError(f"T001: unknown verb {expr.verb}")
-        if verb.kind == "U" and self.context.streaming is None:
-            raise CompileError(f"{expr.verb} is not for streams")
         if scope.item is not None and verb.kind == "W" and expr.verb in ("rowNumber", "sequence", "resetSequence", "accumulate", "set"):
             return self.in_loop(expr, scope)
         out = verb.build(self.context, *[self.value(a, scope) for a in expr.args])
