@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def _window(partition, order):
     if not partition:
@@ -104,3 +106,22 @@ def lookup_join(df, table, keys: dict, value: str, *, order: str, default=None,
 def top_k(df, by, order, k):
     """The first ``k`` rows of each group."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
+
+
+def running_over_all(df, column, *, order, total="running", place="place", parts=None):
+    """Running sum and row number over all rows, without one task for all: a two-level prefix sum.
+
+    Rows are dealt to ranges of the order; a table of one row per range gives each its offsets, and a window runs
+    within each range. ``order`` ends in a unique key.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The ranges come from a sample, so they are fixed as a table before they are read twice.
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy("__range").agg(F.coalesce(F.sum(column), F.lit(0)).alias("__sum"), F.count("*").alias("__rows"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__sum"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows"))
+    # One row per range: as many as the named number of partitions.
+    joined = ranged.join(F.broadcast(offsets), "__range")
+    w = Window.partitionBy("__range").orderBy(*order)
+    running = F.coalesce(F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return joined.withColumns({total: F.col("__sum") + running, place: F.col("__rows") + F.row_number().over(w)}).drop("__range", "__sum", "__rows")

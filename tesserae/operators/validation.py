@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Named formats as patterns; upper-cased first where marked (fixed values).
 PATTERNS = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "uri": r"^[a-zA-Z][a-zA-Z0-9+\-.]*:", "url": r"^https?://[^\s/$.?#].[^\s]*$", "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -280,11 +282,6 @@ def _references(rows: DataFrame, depth: int = 100) -> DataFrame:
     jump = refs
     for _ in range(depth.bit_length()):
         nxt = jump.select("doc_id", F.col("path").alias("target"), F.col("target").alias("far"))
-        jump = _cut(jump.join(nxt, ["doc_id", "target"]).select("doc_id", "path", F.col("far").alias("target")))
+        jump = cut(jump.join(nxt, ["doc_id", "target"]).select("doc_id", "path", F.col("far").alias("target")))
     # What still points after more jumps than a chain may have lies on a cycle or leads into one.
     return unresolved.unionByName(_error(jump.select("doc_id", "path").distinct(), "V012", F.col("path"), "circular reference"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """The plan so far as a table: a checkpoint in the shared folder if the session has one, else a cached one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

@@ -81,3 +81,8 @@ def lookup_join(spark, sf_dir):
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
 def top_k(spark, sf_dir):
     return S.top_k(read(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS running, row_number() OVER (ORDER BY ts, event_id) AS place FROM events")
+def series_running_over_all(spark, sf_dir):
+    return S.running_over_all(read(spark, sf_dir, "events"), "value", order=["ts", "event_id"]).select("event_id", F.round("running", 3).alias("running"), "place")
