@@ -9,7 +9,7 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere
    Larsson-Sadakane refinement: each round sorts unresolved groups only, by the rank at twice the depth. Kasai's
    inequality gives the common prefixes of neighbours; those of ``LENGTH`` or more repeat within the shard.
 3. Each shard's distinct strings, as sorted fingerprints, are cut into blocks by binary search and merged: a fingerprint
-   that binary search finds in another shard's run repeats across shards.
+   that binary search finds in another shard's run repeats across shards. The answer is a bit for each.
 4. Shards mark the covered bytes.
 
 Fingerprints have 64 bits besides the block's own hash; anchors only pre-select. Cases: null text is empty; shorter
@@ -259,8 +259,22 @@ def _pieces(rows):
     return data, cat(owner), cat(place), cat(start)
 
 
+def _fingerprints(data: np.ndarray, start: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, fingerprint) of the strings that begin at ``start``."""
+    prints = window_hashes(data, LENGTH)[start]
+    second = window_hashes(data, LENGTH, True)[start]
+    return (second >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32), prints
+
+
+def _distinct(block: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by block and fingerprint, and the places in it where a new pair begins."""
+    by = np.lexsort((prints, block))
+    new = np.concatenate(([True], (block[by][1:] != block[by][:-1]) | (prints[by][1:] != prints[by][:-1])))
+    return by, np.flatnonzero(new)
+
+
 def _shards(pieces: DataFrame, blocks: int) -> DataFrame:
-    """Suffix arrays of all shards: rows (block, shard, fingerprints); block -1 holds those that repeat in the shard."""
+    """Suffix arrays of all shards: (block, shard, sorted fingerprints, bits of those that repeat in the shard)."""
 
     def run(batches):
         import pyarrow as pa
@@ -278,56 +292,68 @@ def _shards(pieces: DataFrame, blocks: int) -> DataFrame:
             prefix = np.zeros(len(start), np.int64)
             prefix[has] = common_prefixes(data, start[has], start[before[has]], LENGTH)
             new = prefix[order] < LENGTH
-            group = np.cumsum(new) - 1
-            heads = order[new]
-            again = np.bincount(group) > 1
-            prints = window_hashes(data, LENGTH)[start[heads]]
-            block = (window_hashes(data, LENGTH, True)[start[heads]] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
-            by = np.lexsort((prints, block))
-            edges = np.searchsorted(block[by], np.arange(blocks + 1, dtype=np.uint64))
+            heads, again = order[new], np.bincount(np.cumsum(new) - 1) > 1
+            block, prints = _fingerprints(data, start[heads], blocks)
+            by, first = _distinct(block, prints)
+            again = np.logical_or.reduceat(again[by], first)
+            block, prints = block[by][first], prints[by][first]
+            edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
             full = [b for b in range(blocks) if edges[b] < edges[b + 1]]
-            out = [np.sort(prints[again]).tobytes()] + [prints[by[edges[b] : edges[b + 1]]].tobytes() for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *full], pa.int32()), pa.array([shard] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["block", "shard", "prints"])
+            out = [prints[edges[b] : edges[b + 1]].tobytes() for b in full]
+            bits = [np.packbits(again[edges[b] : edges[b + 1]]).tobytes() for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([shard] * len(out), pa.int64()), pa.array(out, pa.binary()), pa.array(bits, pa.binary())], names=["block", "shard", "prints", "bits"])
             del data, rank, order, before, has, prefix, prints, block
             release()
 
-    return pieces.mapInArrow(run, "block int, shard long, prints binary")
+    return pieces.mapInArrow(run, "block int, shard long, prints binary, bits binary")
 
 
 def _merge(runs: DataFrame) -> DataFrame:
-    """(shard, prints): of each block and shard those that binary search finds in another shard's run."""
+    """(shard, block, bits): of each shard's run those that repeat in it or that binary search finds in another's."""
 
     def run(batches):
         import pyarrow as pa
 
-        for _, rows in _runs(batches, 0):
+        for block, rows in _runs(batches, 0):
             merged = np.sort(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]))
             twice = np.unique(merged[1:][merged[1:] == merged[:-1]])
             shard, out = [], []
             for r in rows:
                 own = np.frombuffer(r[2], np.uint64)
-                at = np.searchsorted(own, twice)
-                got = twice[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == twice)]
-                if len(got):
+                hit = np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(own)).astype(bool)
+                if len(twice):
+                    at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
+                    hit |= twice[at] == own
+                if hit.any():
                     shard.append(r[1])
-                    out.append(got.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(out, pa.binary())], names=["shard", "prints"])
+                    out.append(np.packbits(hit).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([block] * len(shard), pa.int32()), pa.array(out, pa.binary())], names=["shard", "block", "bits"])
+        release()
 
-    return runs.mapInArrow(run, "shard long, prints binary")
+    return runs.mapInArrow(run, "shard long, block int, bits binary")
 
 
-def _marked(pieces: DataFrame) -> DataFrame:
-    """(md5, n_removed, n_spans, kept_sha256, kept) of a shard's texts. Rows without text bring repeated fingerprints."""
+def _marked(pieces: DataFrame, blocks: int) -> DataFrame:
+    """(md5, n_removed, n_spans, kept_sha256, kept) of a shard's texts. Rows without text bring the bits of its runs."""
 
     def run(batches):
         import pyarrow as pa
 
         for _, rows in _runs(batches, 0):
             texts = [r[1:4] for r in rows if r[1] is not None]
-            found = [np.frombuffer(r[4], np.uint64) for r in rows if r[4] is not None]
-            repeated = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             data, owner, place, start = _pieces(texts)
-            hit = np.isin(window_hashes(data, LENGTH)[start], repeated) if len(start) else np.zeros(0, bool)
+            hit = np.zeros(len(start), bool)
+            if len(start):
+                # The shard's distinct strings in the order in which their bits were sent.
+                block, prints = _fingerprints(data, start, blocks)
+                by, first = _distinct(block, prints)
+                flags = np.zeros(len(first), bool)
+                heads = block[by][first]
+                for r in rows:
+                    if r[5] is not None:
+                        lo, hi = np.searchsorted(heads, [np.uint64(r[4]), np.uint64(r[4] + 1)])
+                        flags[lo:hi] = np.unpackbits(np.frombuffer(r[5], np.uint8), count=hi - lo)
+                hit[by] = np.repeat(flags, np.diff(np.append(first, len(by))))
             out = []
             edges = np.searchsorted(owner, np.arange(len(texts) + 1))
             for d, (md5, raw, _) in enumerate(texts):
@@ -374,12 +400,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shard = F.pmod(F.xxhash64("md5"), F.lit(shards)).alias("shard")
     pieces = scratch.keep(raws.join(chosen.select("md5", "runs"), "md5").select(shard, "md5", "raw", "runs"))
     count = max(1, min(int(shards), 100_000))
-    sorted_runs = scratch.keep(_shards(pieces.repartition(count, "shard").sortWithinPartitions("shard"), blocks))
-    across = _merge(sorted_runs.where("block >= 0").repartition(parts, "block").sortWithinPartitions("block"))
-    repeats = across.unionByName(sorted_runs.where("block = -1").select("shard", "prints"))
-    none = F.lit(None)
-    both = pieces.withColumn("prints", none.cast("binary")).unionByName(repeats.select("shard", none.cast("string").alias("md5"), none.cast("binary").alias("raw"), none.cast("binary").alias("runs"), "prints"))
-    marked = _marked(both.repartition(count, "shard").sortWithinPartitions("shard"))
+    sorted_runs = _shards(pieces.repartition(count, "shard").sortWithinPartitions("shard"), blocks)
+    repeats = scratch.keep(_merge(sorted_runs.repartition(parts, "block").sortWithinPartitions("block")))
+    none = lambda kind: F.lit(None).cast(kind)
+    texts_of = pieces.withColumns({"block": none("int"), "bits": none("binary")})
+    bits_of = repeats.select("shard", none("string").alias("md5"), none("binary").alias("raw"), none("binary").alias("runs"), "block", "bits")
+    marked = _marked(texts_of.unionByName(bits_of).repartition(count, "shard").sortWithinPartitions("shard"), blocks)
     marked = scratch.keep(marked if keep_bytes else marked.drop("kept"))
     out = rows.join(texts.where("copies > 1").select("md5", "copies"), "md5", "left").join(marked, "md5", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
