@@ -9,7 +9,8 @@ trained together by gradient steps; a text teaches by its worst windows, a clean
 As softmax and average are linear, each word brings one number, which scoring remembers: the pass over the corpus
 looks words up and takes running means.
 
-Cases: null and empty texts and texts without words get the bias-only score; texts are scored whole; equal texts get
+Cases: null and empty texts and texts without words get the bias-only score; texts are scored whole, words without white
+space too: a word above ``PIECE`` code points is a run of overlapping pieces, which are words of the windows; equal texts get
 equal scores; labels for missing documents, null labels and repeated label rows are allowed (the largest label of a
 document counts); without labels of both classes every score is the smoothed share of positives.
 """
@@ -28,7 +29,9 @@ BUCKETS, DIM, GRAMS, WINDOW, SHARE = 1 << 17, 8, (3, 4, 5, 6), 2, 0.02
 #: At most so many labelled rows of each class fit the model: those of smallest crc32(doc_id), whatever the table's size.
 FIT_ROWS = 1500
 EPOCHS, RATE, SEED = 5, 0.3, 5
-#: Words hashed at a time.
+#: Longer words are taken as pieces of so many code points that overlap by ``max(GRAMS) - 1``: no n-gram is lost.
+PIECE = 16
+#: Words (and pieces) hashed at a time.
 PART = 20_000
 #: Words remembered with their number per worker; beyond it the memory starts anew.
 CACHE = 250_000
@@ -36,7 +39,27 @@ _EDGE = ".,;:!?\"'()[]{}|#*$%&<>"
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """A text's words; a word above ``PIECE`` code points is its pieces. A space at a piece's end marks a cut there."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [p for w in words for p in (_pieces(w) if len(w) > PIECE else (w,))]
+
+
+def _pieces(word: str) -> list[str]:
+    word = word.strip(_EDGE) or word
+    if len(word) <= PIECE:
+        return [word]
+    lap = max(GRAMS) - 1
+    starts = range(0, len(word) - lap, PIECE - lap)
+    return [(" " if i else "") + word[i : i + PIECE] + (" " if i + PIECE < len(word) else "") for i in starts]
+
+
+def _marked(word: str) -> str:
+    """The word between boundary marks and without edge signs; a piece has marks only where its word ends."""
+    if " " in word:
+        return ("" if word[0] == " " else "<") + word.strip(" ") + ("" if word[-1] == " " else ">")
+    return "<" + (word.strip(_EDGE) or word) + ">"
 
 
 def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +73,7 @@ def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    marked = ["<" + (w.strip(_EDGE) or w)[:60] + ">" for w in words]
+    marked = [_marked(w) for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     ends = np.cumsum([len(m) for m in marked])
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
@@ -115,10 +138,11 @@ class Model:
             if len(memory) + len(new) > CACHE:
                 memory.clear()
                 new = list(wanted)
-            if new:
-                rows, sizes = bags(new)
+            for i in range(0, len(new), PART):
+                part = new[i : i + PART]
+                rows, sizes = _bags(part)
                 numbers = np.add.reduceat(unit[rows], np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes
-                memory.update(zip(new, numbers.tolist(), strict=True))
+                memory.update(zip(part, numbers.tolist(), strict=True))
             return [score(w) for w in split]
 
         return scores

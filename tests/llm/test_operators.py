@@ -313,6 +313,33 @@ def test_toxicity(spark):
     assert kept == {i for i, r in rows.items() if not r.predicted}
 
 
+def toxic_model():
+    toxic = [prose(i, 30) + " zorgbad vilemuck" for i in range(200)]
+    clean = [prose(1000 + i, 32) for i in range(300)]
+    return toxicity.fit(toxic + clean, [1] * 200 + [0] * 300)
+
+
+@pytest.mark.parametrize("joint", ["_", "-", "/", "\u200b", ""])
+def test_toxicity_reads_long_words_whole(joint):
+    score = toxic_model().scorer()
+    lead, tail = joint.join(prose(7, 60).split()), joint.join(prose(8, 60).split())
+    bad, good = joint.join([lead, "zorgbad", "vilemuck", tail]), joint.join([lead, "abcdefg", "hgfedcba", tail])
+    assert " " not in bad and bad.index("zorgbad") > 60 and bad[:60] == good[:60]
+    a, b = score([bad, good])
+    # Without any sign between them the words lack their boundary marks, which most of the model's n-grams have.
+    assert a > b and (not joint or a >= 0.3 > b)
+
+
+def test_toxicity_pieces_hold_every_ngram():
+    for n in (16, 17, 27, 28, 61, 200):
+        word = prose(n, 200).replace(" ", "")[:n]
+        marked = [toxicity._marked(p) for p in toxicity.words_of(word)]
+        assert max(map(len, marked)) <= toxicity.PIECE + 2
+        for g in toxicity.GRAMS:
+            grams = lambda t: {t[i : i + g] for i in range(len(t) - g + 1)}
+            assert set().union(*map(grams, marked)) == grams(f"<{word}>")
+
+
 # 10
 
 
