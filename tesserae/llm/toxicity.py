@@ -2,8 +2,9 @@
 
 A word is the bag of its character n-grams (with boundary marks) and itself, each hashed to a row of one embedding
 table; a window of ``WINDOW`` words is the average of its words' bags; a linear softmax over that average gives the
-window's class. A text's score is the mean margin of its worst ``SHARE`` of windows (one at least), so a few abusive
-words in a long text are not averaged away and a chance likeness is not enough there. Embeddings and softmax are
+window's class. A text's score is the larger of two margins: the mean of its worst ``SHARE`` of windows (one at least),
+where a chance likeness in a long text is not enough, and the mean of its worst run of ``RUN`` words, at any start, so
+that a passage is judged alike however long the rest of the text is. Embeddings and softmax are
 trained together by gradient steps; a text teaches by its worst windows, a clean one also by others. Unseen misspellings share n-grams, hence vectors, with seen words.
 
 As softmax and average are linear, each word brings one number, which scoring remembers: the pass over the corpus
@@ -26,6 +27,8 @@ from .gbt import platt
 
 #: Rows of the embedding table, vector length, n-gram lengths, words in a window, share of the windows that count.
 BUCKETS, DIM, GRAMS, WINDOW, SHARE = 1 << 17, 8, (3, 4, 5, 6), 2, 0.02
+#: Words of a passage that counts by itself.
+RUN = 10
 #: At most so many labelled rows of each class fit the model: those of smallest crc32(doc_id), whatever the table's size.
 FIT_ROWS = 1500
 EPOCHS, RATE, SEED = 5, 0.3, 5
@@ -129,6 +132,9 @@ class Model:
                 means = np.add.reduceat(x, start) / np.minimum(WINDOW, len(x) - start)
                 k = _top(len(start))
                 z = means.max() if k == 1 else np.partition(means, len(means) - k)[-k:].mean()
+                if len(x) > RUN:
+                    total = np.cumsum(x)
+                    z = max(z, total[RUN - 1] / RUN, (total[RUN:] - total[:-RUN]).max() / RUN)
             return float(1 / (1 + np.exp(-np.clip(a * (z + bias) + b, -30, 30))))
 
         def scores(texts) -> list[float]:

@@ -340,6 +340,14 @@ def test_toxicity_pieces_hold_every_ngram():
             assert set().union(*map(grams, marked)) == grams(f"<{word}>")
 
 
+def test_toxicity_of_a_passage_in_a_long_text():
+    score = toxic_model().scorer()
+    words, passage = prose(9, 20_000).split(), ["zorgbad", "vilemuck"] * 6
+    texts = [" ".join(words), *[" ".join(words[:i] + passage + words[i:]) for i in (0, 7_001, 20_000)], " ".join(words[:200] + passage)]
+    clean, *bad = score(texts)
+    assert clean < 0.3 and min(bad) >= 0.3
+
+
 # 10
 
 
