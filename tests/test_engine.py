@@ -144,6 +144,15 @@ def duck():
     return db
 
 
+def test_references_of_long_chains(spark):
+    chain = [("chain", f"p{i}", f"p{i + 1}") for i in range(300)]
+    ring = [("ring", f"p{i}", f"p{(i + 1) % 150}") for i in range(150)]
+    rows = [(d, p, "reference", t, None, [], 0) for d, p, t in chain + ring] + [("chain", "p300", "string", "x", None, [], 0)]
+    df = spark.createDataFrame(rows, "doc_id string, path string, type string, text string, number double, mods array<string>, ord int")
+    got = V.validate(df, V.Schema()).select("doc_id", "code", "path").collect()
+    assert sorted(map(tuple, got)) == sorted(("ring", "V012", p) for _, p, _ in ring)
+
+
 OWN = [n for n in __spark_entry__.oracle_sql() if not n.startswith("op") and n != "pipeline"]
 
 
