@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` (a, b) to (node, label), the smallest node of each component; only nodes with an edge occur.
 
     Each step links every node's neighbours to the smallest one, so stars shrink to trees of depth one in about
-    log(n) rounds; neighbours are never gathered in a row, so a hub is no hot task: minima are pre-aggregated.
+    log(n) rounds, repeated until two agree; neighbours are never gathered in a row, so a hub is no hot task: minima are pre-aggregated.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     current = scratch.keep(both)
     before = None
-    for _ in range(most):
+    while True:
         # Large star: every neighbour above a node is linked to the smallest of its neighbourhood.
         sides = current.union(current.select("v", "u")).toDF("u", "v")
         least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, chat, flac, gbt, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
+from tesserae.llm import bpe, chat, flac, gbt, graph, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
+from tesserae.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n long, token string, component_id string"
 
@@ -105,6 +106,14 @@ def test_ngram_join(spark, texts):
     assert got == sorted(plain_components(list(zip(ids, texts, strict=True))))
 
 
+def test_components_end_only_when_two_rounds_agree(spark, monkeypatch):
+    # A cap on the rounds, whatever its size, must not decide: one that is reached at once stands for any.
+    monkeypatch.setattr(graph, "range", lambda *_: [0], raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    got = graph.components(edges, Scratch(spark, "test")).collect()
+    assert sorted((r.node, r.label) for r in got) == [(i, 0) for i in range(41)]
+
+
 def test_keep_one(spark, texts):
     rows = list(zip(range(len(texts)), texts, strict=True)) + [(5, texts[5]), (5, texts[5])]
     docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
