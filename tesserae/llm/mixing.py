@@ -12,7 +12,7 @@ Copies: within a source documents are sorted by size, largest first, and the run
 numbers, so that each document gets its rate rounded down or up and a source's error is about its largest size at most
 (the running sum comes from the pairs' counts; no task holds a source). Then some passes move single documents up or down where that brings the source nearer to its target.
 
-Cases: null and wordless texts have size 0 and are taken 0 words; a null source is a source; repeated rows count each
+Cases: null and wordless texts have size 0 and are taken 0 words, also where a source has no others; a null source is a source; repeated rows count each
 for itself, rows of equal id and size are moved together, rows without id are not moved; an empty table gives an empty table.
 Ties are broken by id, so reruns agree.
 """
@@ -91,7 +91,7 @@ def _solve(sizes_: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
     state = scratch.keep(state.withColumns({"tilt": F.lit(0.0), "lo": F.lit(-60.0), "hi": F.lit(60.0), "done": F.lit(False)}))
     for step in range(ITERATIONS):
         joined = sizes_.join(state, "source").select("source", "size", "rows", "mean", "tilt")
-        z = F.col("size") / F.col("mean")
+        z = F.coalesce(F.try_divide(F.col("size"), F.col("mean")), F.lit(0.0))
         share = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * z))))
         words = F.sum(F.col("rows") * F.col("size") * CAP * share).alias("words")
         slope = F.sum(F.col("rows") * F.col("size") * z * CAP * share * (1 - share)).alias("slope")
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     state = _solve(pairs, _targets(per_source), scratch)
     # Rates belong to (source, size) pairs; so do the offsets of the running sum of rates.
     joined = pairs.join(state, "source").select("source", "size", "rows", "mean", "tilt", "target", "source_size")
-    tilted = CAP / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("mean")))))
+    tilted = CAP / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.try_divide(F.col("tilt") * F.col("size"), F.col("mean"))))))
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("target") >= CAP * F.col("source_size"), CAP).otherwise(tilted)
     offsets = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     joined = joined.withColumn("rate", rate).withColumn("offset", F.coalesce(F.sum(F.col("rows") * F.col("rate")).over(offsets), F.lit(0.0)))

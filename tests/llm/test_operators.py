@@ -261,6 +261,15 @@ def test_mixing(spark):
     assert collections.Counter(r.doc_id for r in repeated.select("doc_id").collect()) == collections.Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
+def test_mixing_with_a_source_of_no_words(spark):
+    schema = "doc_id long, text string, source string"
+    words = [(i, prose(i, 20 + i), "ab"[i % 2]) for i in range(10)]
+    docs = spark.createDataFrame([*words, (60, None, "c"), (61, "", "c"), (62, " ", "c")], schema)
+    rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert len(rows) == 13 and all((rows[i].rate, rows[i].copies, rows[i].taken, rows[i].target) == (0, 0, 0, 0) for i in (60, 61, 62))
+    assert sum(r.taken for r in rows.values()) > 0
+
+
 # 7 and 8
 
 
