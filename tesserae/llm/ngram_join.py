@@ -1,17 +1,19 @@
-"""N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix, with size-derived bounds.
+"""N-gram Jaccard join: a prefix-filter join with exact intersections, with size-derived bounds.
 
-Two documents link if their sets of five-word shingles overlap by 0.75 of their union or more. The product of the
-incidence matrix with its transpose holds all overlaps; it is computed in blocks and only where bounds allow a link:
+Two documents link if their sets of five-word shingles overlap by 0.75 of their union or more. The blocked product of the
+document by n-gram incidence matrix with its transpose, which would hold all overlaps, is not formed: a prefix-filter join
+takes its place and gives the same links. Columns are blocked only to count which of them recur:
 
 1. Columns (shingle hashes) are dealt out in blocks. A block counts which of its columns have two rows or more, and a
    document is left only if at least 0.75 of its own columns do: a smaller overlap can't reach the bound. Columns that
    recur within a batch of documents are counted there and sent once, so a shingle of every document is no hot key.
 2. Documents of equal sets are one row from here on.
 3. Left rows order their columns by frequency, rarest first. Linked rows share a column among the first
-   n - ceil(0.75 n) + 1, and only these columns are multiplied. Overlaps are first found for each row with a few pivots
+   n - ceil(0.75 n) + 1, and only these columns are joined. Links are first found for each row with a few pivots
    of its columns, which joins groups of near copies without all pairs; then, in columns whose rows are not yet in one
    component, every row outside the main component meets the others, each pair in its first common column. Pairs whose sizes or positions bound the
-   overlap below the needed one are discarded; the others get their exact overlap count.
+   overlap below the needed one are discarded; the others get their exact overlap by
+   one intersection of their whole sets.
 
 Links within a component that is already known are not needed for the components, and are not counted.
 
@@ -182,7 +184,7 @@ def _sets(docs: DataFrame, left: DataFrame, id_col: str, text_col: str, few: boo
 
 
 def _entries(sets: DataFrame) -> DataFrame:
-    """(token, node, n, pos): the columns to multiply, with their place in the row's order."""
+    """(token, node, n, pos): the columns to join, with their place in the row's order."""
     every = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = every.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
     rows = every.join(often, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("own"))
