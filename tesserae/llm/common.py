@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,17 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that a Python worker is given: whole texts would make batches of 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to ``BATCH_BYTES``; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).lower()).groups()
+    if not 0 < int(number) * _UNITS[unit[:1]] <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, one machine) a temporary
-    folder is set as the checkpoint folder, once per session.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and Spark runs on this machine alone (tests) a
+    temporary folder is set as the checkpoint folder, once per session; on a cluster executors could not read it.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getCheckpointDir()
         if not root:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
             root = sc.getCheckpointDir()
     return root.rstrip("/")
@@ -92,6 +110,8 @@ class PowerTable:
         self.down = powers(1 << 16, _BASE_INV)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 4 * CHUNK:  # one very long text: not kept
+            return powers(n), powers(n, _BASE_INV)
         if n > len(self.up):
             self.up, self.down = powers(n), powers(n, _BASE_INV)
         return self.up[:n], self.down[:n]
@@ -107,8 +127,23 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+#: Bytes hashed at a time; a longer span is taken alone.
+CHUNK = 1 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, whatever its place."""
+    """A 64-bit hash of each span of bytes, whatever its place. Spans are disjoint and in order."""
+    if len(data) <= CHUNK:
+        return _span_hashes(data, starts, ends)
+    out, i = [np.zeros(0, np.uint64)], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+        out.append(_span_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]))
+        i = j
+    return np.concatenate(out)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _TABLE.get(len(data) + 1)
@@ -192,4 +227,5 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, worker,
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
             release()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)

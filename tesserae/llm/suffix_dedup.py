@@ -3,18 +3,20 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere in the corpus. Steps:
 
 1. Anchors rule out what can't repeat. The smallest hash of the ``GRAM``-byte strings within a ``LENGTH``-byte string
-   is its anchor; equal strings have equal anchors. Anchors are counted in blocks of hashes (those that recur within a
-   batch of documents are sent once); only strings whose anchor recurs go on. Of equal texts one goes on.
+   is its anchor; equal strings have equal anchors. Anchors are dealt to blocks of hashes (``deal``; those that recur within
+   a batch of documents are sent once); only strings whose anchor recurs go on. Of equal texts one goes on.
 2. Texts with such strings are dealt to shards of bounded size. A shard sorts its suffixes to depth ``LENGTH`` by
    Larsson-Sadakane refinement: each round sorts unresolved groups only, by the rank at twice the depth. Kasai's
    inequality gives the common prefixes of neighbours; those of ``LENGTH`` or more repeat within the shard.
 3. Each shard's distinct strings, as sorted fingerprints, are cut into blocks by binary search and merged: a fingerprint
-   that binary search finds in another shard's run repeats across shards. The answer is a bit for each.
+   that binary search finds in another shard's run repeats across shards. The answer is a bit for each. The number of
+   blocks follows the counted strings.
 4. Shards mark the covered bytes.
 
 Fingerprints have 64 bits besides the block's own hash; anchors only pre-select. Cases: null text is empty; shorter
 texts lose nothing; equal texts of ``LENGTH`` bytes or more are removed whole; repeated rows and null ids are rows like
-others; an empty table gives an empty table; texts of any length are read whole, a shard holds one text at least.
+others; an empty table gives an empty table; texts of any length are read whole, a shard holds
+one text at least. Ids are whole numbers, or texts that can be cast to such.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLE, Scratch, mix64, powers, release, slices
-from .ngram_join import BROADCAST_ROWS, _runs
+from . import deal
+from .common import _TABLE, CHUNK, Scratch, mix64, powers, release, slices, small_batches
+from .ngram_join import BROADCAST_ROWS
 
 LENGTH, GRAM = 400, 200
-#: Bytes of input for one block of anchors or fingerprints, and bytes of text in a shard.
+#: Bytes of fingerprints in a block, and bytes of text in a shard.
 BLOCK_BYTES, SHARD_BYTES = 6 << 20, 3 << 19
-_NO_OWNER = 0xFFFFFFFF
+_OWNER = deal.OWNER["many"]
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BASE2 = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -63,7 +66,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts with one anchor: anchors, first and last start, whether the anchor occurs twice within the run."""
+    """Runs of starts with one anchor: anchors, first and last start, whether the anchor occurs twice within the run.
+
+    ``CHUNK`` starts are read at a time; a run that is cut there is two runs with one anchor, which then counts as recurring.
+    """
+    if len(raw) <= CHUNK + LENGTH:
+        return _segments(raw)
+    starts = range(0, len(raw) - LENGTH + 1, CHUNK)
+    parts = [(at, _segments(raw[at : at + CHUNK + LENGTH - 1])) for at in starts]
+    return tuple(np.concatenate([p[k] + at if k in (1, 2) else p[k] for at, p in parts]) for k in range(4))
+
+
+def _segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(raw, np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
@@ -77,10 +91,10 @@ def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return keys, first, last, twice
 
 
-_ROW = "kind int, batch long, idx int, doc_id long, n_bytes long, md5 string, sha string, keys binary, owners binary"
+_ROW = "kind long, batch long, idx int, doc_id long, n_bytes long, md5 string, sha string, batches binary, counts binary, keys binary, owners binary"
 
 
-def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame:
+def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of documents (kind -1), of batches with their runs (-2), and of blocks with a batch's anchors."""
 
     def run(batches):
@@ -88,7 +102,7 @@ def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
         from pyspark import TaskContext
 
         count = TaskContext.get().partitionId() << 32
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * 4)
         for arrow in batches:
             for ids, texts in slices(arrow.column(0).to_pylist(), arrow.column(1).to_pylist(), 4_000_000):
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -104,54 +118,26 @@ def _scan(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
                 group = np.cumsum(first) - 1
                 twice = np.bincount(group, minlength=1)[group] > 1 if len(keys) else first
                 sure[order] |= twice
-                ordinal = np.where(twice, _NO_OWNER, order)[first].astype(np.uint32)
-                sent = ordered[first]
-                block = (sent >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
-                edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
-                m, full = len(raws), [b for b in range(blocks) if edges[b] < edges[b + 1]]
-                k = len(full)
-                columns = [
-                    [-1] * m + [-2] + full, [count] * (m + 1 + k), list(range(m)) + [None] * (1 + k), ids + [None] * (1 + k), [len(r) for r in raws] + [None] * (1 + k),
-                    [hashlib.md5(r).hexdigest() for r in raws] + [None] * (1 + k), [hashlib.sha256(r).hexdigest() for r in raws] + [None] * (1 + k),
-                    [None] * m + [runs.tobytes()] + [sent[edges[b] : edges[b + 1]].tobytes() for b in full],
-                    [None] * m + [sure.tobytes()] + [ordinal[edges[b] : edges[b + 1]].tobytes() for b in full],
-                ]
+                ordinal = np.where(twice, np.iinfo(_OWNER).max, order)[first].astype(_OWNER)
+                digests = [(hashlib.md5(r).hexdigest(), hashlib.sha256(r).hexdigest()) for r in raws]
+                rows = [(-1, count, i, key, len(r), *d, None, None, None, None) for i, (key, r, d) in enumerate(zip(ids, raws, digests, strict=True))]
+                rows.append((-2, count, *[None] * 7, runs.tobytes(), sure.tobytes()))
+                rows += [(r[0], count, *[None] * 5, *r[1:]) for r in deal.coarse_rows(ordered[first], ordinal, count)]
                 count += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _ROW.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _ROW.split(", ")])
             release()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _ROW)
 
 
-def _recurring(blobs: DataFrame) -> DataFrame:
-    """(batch, kind 0, keys: ordinals of runs whose anchor another batch has too)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for _, rows in _runs(batches, 0):
-            keys = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-            ordered = np.sort(keys)
-            again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            batch, out = [], []
-            for r in rows:
-                own, ordinal = np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.uint32)
-                got = ordinal[np.isin(own, again) & (ordinal != _NO_OWNER)]
-                if len(got):
-                    batch.append(r[1])
-                    out.append(got.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array([0] * len(batch), pa.int32()), pa.array(out, pa.binary()), pa.array([None] * len(batch), pa.binary())], names=["batch", "kind", "keys", "owners"])
-
-    return blobs.mapInArrow(run, "batch long, kind int, keys binary, owners binary")
-
-
 def _candidates(replies: DataFrame) -> DataFrame:
-    """(batch, idx, runs): first and last starts, as pairs of 32-bit numbers, whose anchors recur."""
+    """(batch, idx, runs, starts): first and last starts, as pairs of 32-bit numbers, whose anchors recur, and how many starts."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch, rows in _runs(batches, 0):
+        for batch, rows in deal.runs(batches, 0):
             own = next(r for r in rows if r[1] == -2)
             runs, sure = np.frombuffer(own[2], np.int32).reshape(-1, 3), np.frombuffer(own[3], bool).copy()
             for r in rows:
@@ -160,9 +146,12 @@ def _candidates(replies: DataFrame) -> DataFrame:
             runs = runs[sure]
             docs, at = np.unique(runs[:, 0], return_index=True)
             parts = np.split(runs[:, 1:], at[1:]) if len(docs) else []
-            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(docs), pa.int64()), pa.array(docs.astype(np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["batch", "idx", "runs"])
+            starts = [int((p[:, 1].astype(np.int64) - p[:, 0] + 1).sum()) for p in parts]
+            columns = ([batch] * len(docs), docs.astype(np.int32), [p.tobytes() for p in parts], starts)
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["batch", "idx", "runs", "starts"])
 
-    return replies.mapInArrow(run, "batch long, idx int, runs binary")
+    return replies.mapInArrow(run, "batch long, idx int, runs binary, starts long")
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -279,7 +268,7 @@ def _shards(pieces: DataFrame, blocks: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for shard, rows in _runs(batches, 0):
+        for shard, rows in deal.runs(batches, 0):
             data, _, _, start = _pieces([r[1:] for r in rows])
             if not len(start):
                 continue
@@ -297,11 +286,11 @@ def _shards(pieces: DataFrame, blocks: int) -> DataFrame:
             by, first = _distinct(block, prints)
             again = np.logical_or.reduceat(again[by], first)
             block, prints = block[by][first], prints[by][first]
-            edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
-            full = [b for b in range(blocks) if edges[b] < edges[b + 1]]
-            out = [prints[edges[b] : edges[b + 1]].tobytes() for b in full]
-            bits = [np.packbits(again[edges[b] : edges[b + 1]]).tobytes() for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([shard] * len(out), pa.int64()), pa.array(out, pa.binary()), pa.array(bits, pa.binary())], names=["block", "shard", "prints", "bits"])
+            full, edges = np.unique(block, return_index=True)
+            edges = np.append(edges, len(block))
+            out = [prints[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+            bits = [np.packbits(again[i:j]).tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([shard] * len(out), pa.int64()), pa.array(out, pa.binary()), pa.array(bits, pa.binary())], names=["block", "shard", "prints", "bits"])
             del data, rank, order, before, has, prefix, prints, block
             release()
 
@@ -314,7 +303,7 @@ def _merge(runs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for block, rows in _runs(batches, 0):
+        for block, rows in deal.runs(batches, 0):
             merged = np.sort(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]))
             twice = np.unique(merged[1:][merged[1:] == merged[:-1]])
             shard, out = [], []
@@ -339,7 +328,7 @@ def _marked(pieces: DataFrame, blocks: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for _, rows in _runs(batches, 0):
+        for _, rows in deal.runs(batches, 0):
             texts = [r[1:4] for r in rows if r[1] is not None]
             data, owner, place, start = _pieces(texts)
             hit = np.zeros(len(start), bool)
@@ -379,19 +368,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    size = min(int(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
-    blocks = max(16, min(1 << 24, -(-size // BLOCK_BYTES)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 100_000))
-    scanned = scratch.keep(_scan(docs, blocks, id_col, text_col))
-    blobs = scanned.where("kind >= 0").select("kind", "batch", "keys", "owners").repartition(parts, "kind").sortWithinPartitions("kind")
-    replies = _recurring(blobs).unionByName(scanned.where("kind = -2").select("batch", "kind", "keys", "owners"))
+    scanned = scratch.keep(_scan(docs, id_col, text_col))
+    replies = deal.recurring(scanned.where("kind >= 0"), _OWNER).select("batch", F.lit(0).cast("long").alias("kind"), F.col("owners").alias("keys"), F.lit(None).cast("binary").alias("owners"))
+    replies = replies.unionByName(scanned.where("kind = -2").select("batch", "kind", "keys", "owners"))
     found = _candidates(replies.repartition("batch").sortWithinPartitions("batch"))
     rows = scratch.keep(scanned.where("kind = -1").select("batch", "idx", "doc_id", "n_bytes", "md5", "sha"))
     texts = rows.groupBy("md5").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    chosen = scratch.keep(found.join(rows, ["batch", "idx"]).groupBy("md5").agg(F.first("runs").alias("runs"), F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n_bytes")))
+    chosen = scratch.keep(found.join(rows, ["batch", "idx"]).groupBy("md5").agg(F.first("runs").alias("runs"), F.max("starts").alias("starts"), F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n_bytes")))
     scratch.drop(scanned)
-    stats = chosen.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    few, shards = stats[0] <= BROADCAST_ROWS, max(1, -(-stats[1] // SHARD_BYTES))
+    stats = chosen.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("starts"), F.lit(0))).first()
+    few, shards, blocks = stats[0] <= BROADCAST_ROWS, max(1, -(-stats[1] // SHARD_BYTES)), max(1, -(-stats[2] * 8 // BLOCK_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 100_000))
     small = (lambda d: F.broadcast(d)) if few else (lambda d: d)
     own = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
     # The texts are found by id (a row per distinct text), then told apart by MD5; runs follow by a join of few rows.
