@@ -68,9 +68,19 @@ _NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 _LENIENT = r"^[+-]?(\d+(_\d+)*)(\.\d+(_\d+)*)?([eE][+-]?\d+)?$"
 
 
+def bound(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it. It runs outside generated code: for rare branches."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def double_text(c: Column) -> Column:
     """Text of a double: plain digits for exponents -4 to 15, otherwise ``1.0e+16`` style."""
     s = c.cast("string")
+    return F.when(F.contains(s, F.lit("E")), bound(s, _moved_point)).otherwise(s)
+
+
+def _moved_point(s: Column) -> Column:
+    """A number's text with an exponent, written out where that is short."""
     mantissa, exponent = F.substring_index(s, "E", 1), F.element_at(F.split(s, "E"), -1).try_cast("int")
     sign = F.when(F.startswith(mantissa, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     whole = F.regexp_replace(mantissa, "^-", "")
@@ -81,9 +91,7 @@ def double_text(c: Column) -> Column:
     big = F.concat(F.left(long_digits, exponent + 1), F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), trimmed)
     scientific = F.concat(whole, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    moved = F.when(exponent.between(0, 15), big).when(exponent.between(-4, -1), small).otherwise(scientific)
-    special = F.when(F.isnan(c), F.lit("NaN")).when(c == float("inf"), F.lit("Infinity")).when(c == float("-inf"), F.lit("-Infinity"))
-    return F.coalesce(special, F.when(~F.contains(s, F.lit("E")), s).otherwise(F.concat(sign, moved)))
+    return F.concat(sign, F.when(exponent.between(0, 15), big).when(exponent.between(-4, -1), small).otherwise(scientific))
 
 
 def text(v: Value) -> Column:

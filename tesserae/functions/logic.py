@@ -221,6 +221,8 @@ def _ordered(ctx, name):
         raise CompileError(f"{name} needs an order of all rows: not on a stream")
     if not ctx.order:
         raise CompileError(f"{name} needs the order of rows: give order=")
+    if not ctx.partition:
+        raise CompileError(f"{name} over all rows would be one task: give partition=, or use series.running_over_all")
     return Window.partitionBy(*ctx.partition).orderBy(*ctx.order)
 
 

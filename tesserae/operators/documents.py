@@ -66,6 +66,22 @@ def value_text(df_columns=None) -> Column:
     return F.when(kind == "null", "~").when(kind == "string", F.concat(F.lit('"'), F.coalesce(escaped, F.lit("")), F.lit('"'))).when(kind == "number", F.concat(F.lit("#"), short)).when(kind == "currency", money).otherwise(F.concat(lead, F.coalesce(text, F.lit(""))))
 
 
+def shown_text() -> Column:
+    """The text of a value outside the notation: references and binaries keep their signs, nulls are null."""
+    kind = F.col("type")
+    return F.when(kind == "reference", F.concat(F.lit("@"), F.col("text"))).when(kind == "binary", F.concat(F.lit("^"), F.col("text"))).when(kind != "null", F.col("text"))
+
+
+def get(assignments: DataFrame, path: str) -> DataFrame:
+    """The assignments of one path, at most one for each document."""
+    return assignments.where(F.col("path") == path)
+
+
+def has(assignments: DataFrame, path: str) -> DataFrame:
+    """(doc_id, has): whether each document has the path."""
+    return assignments.groupBy("doc_id").agg(F.max(F.coalesce(F.col("path") == path, F.lit(False))).alias("has"))
+
+
 def _sort_key(path: Column) -> Column:
     """Text that sorts as the canonical order does: indices padded and before names."""
     order = F.when(F.startswith(path, F.lit("$")), "0").when(F.startswith(path, F.lit("&")), "2").otherwise("1")
@@ -86,22 +102,22 @@ def canonical(assignments: DataFrame) -> DataFrame:
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Changes between two versions: (doc_id, op, path, from_path, old, new), op of added, removed, changed, moved.
 
-    A full outer join on (doc_id, path); the k-th removed and the k-th added path of equal value make a move.
+    Both versions meet in one shuffle by document; the k-th removed and the k-th added path of equal value make a move.
     """
-    side = lambda df, n: df.select("doc_id", "path", value_text().alias(f"{n}_value"), F.array_join(F.coalesce("mods", F.array()), ",").alias(f"{n}_mods"))
-    both = side(before, "old").join(side(after, "new"), ["doc_id", "path"], "full_outer")
-    both = both.where(~F.col("old_value").eqNullSafe(F.col("new_value")) | ~F.col("old_mods").eqNullSafe(F.col("new_mods")))
-    both = both.withColumn("op", F.when(F.col("old_value").isNull(), "added").when(F.col("new_value").isNull(), "removed").otherwise("changed"))
-    value = F.coalesce("old_value", "new_value")
-    order = Window.partitionBy("doc_id", "op", value).orderBy("path")
-    numbered = both.withColumn("value", value).withColumn("k", F.row_number().over(order))
-    gone = numbered.where("op = 'removed'").select("doc_id", "value", "k", F.col("path").alias("from_path"), F.col("old_value").alias("o"))
-    new = numbered.where("op = 'added'").select("doc_id", "value", "k", F.col("path").alias("to_path"), F.col("new_value").alias("n"))
-    pairs = gone.join(new, ["doc_id", "value", "k"], "full_outer")
-    op = F.when(F.col("to_path").isNull(), "removed").when(F.col("from_path").isNull(), "added").otherwise("moved")
-    moves = pairs.select("doc_id", op.alias("op"), F.coalesce("to_path", "from_path").alias("path"), F.when(F.col("to_path").isNotNull(), F.col("from_path")).alias("from_path"), F.col("o").alias("old"), F.col("n").alias("new"))
-    changed = both.where("op = 'changed'").select("doc_id", "op", "path", F.lit(None).cast("string").alias("from_path"), F.col("old_value").alias("old"), F.col("new_value").alias("new"))
-    return moves.unionByName(changed)
+    side = lambda df, n: df.where(F.col("path").isNotNull()).select("doc_id", "path", F.lit(n).alias("side"), value_text().alias("value"), F.array_join(F.coalesce("mods", F.array()), ",").alias("mods"))
+    rows = side(before, 0).unionByName(side(after, 1)).repartition("doc_id")
+    of = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
+    both = rows.groupBy("doc_id", "path").agg(of(0, "value").alias("old"), of(1, "value").alias("new"), of(0, "mods").alias("old_mods"), of(1, "mods").alias("new_mods"))
+    both = both.where(~F.col("old").eqNullSafe(F.col("new")) | ~F.col("old_mods").eqNullSafe(F.col("new_mods")))
+    op = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    both = both.select("doc_id", "path", "old", "new", op.alias("op"), F.coalesce("old", "new").alias("value"))
+    order = Window.partitionBy("doc_id", "op", "value").orderBy("path")
+    numbered = both.withColumn("k", F.row_number().over(order)).withColumn("own", F.when(F.col("op") == "changed", F.col("path")))
+    # A changed path is a group of its own; a removed and an added one of equal value and place share a group.
+    path_of = lambda name: F.max(F.when(F.col("op") == name, F.col("path")))
+    pairs = numbered.groupBy("doc_id", "value", "k", "own").agg(path_of("removed").alias("gone"), path_of("added").alias("came"), F.max("old").alias("old"), F.max("new").alias("new"))
+    op = F.when(F.col("own").isNotNull(), "changed").when(F.col("came").isNull(), "removed").when(F.col("gone").isNull(), "added").otherwise("moved")
+    return pairs.select("doc_id", op.alias("op"), F.coalesce("own", "came", "gone").alias("path"), F.when(F.col("came").isNotNull(), F.col("gone")).alias("from_path"), "old", "new")
 
 
 def patch(base: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:

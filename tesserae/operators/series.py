@@ -87,19 +87,18 @@ def weighted_average(df, by, value, weight):
     return df.groupBy(*by).agg(F.try_divide(F.sum(v * w), F.sum(w)).alias("weighted_avg"))
 
 
-def lookup_join(df, table, keys: dict, value: str, *, order: str, default=None, small: bool = False):
+def lookup_join(df, table, keys: dict, value: str, *, order: str, default=None):
     """Left join to the first row (by ``order``) of each key; ``default`` only where no row matches.
 
-    ``small`` broadcasts the table: set it for tables of a proven size.
+    Spark broadcasts the table if its measured size allows it, and splits hot keys otherwise.
     """
     first = table.groupBy(*keys.values()).agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("__hit"))
     first = first.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys.values())], "__hit")
-    hint = F.broadcast(first) if small else first
     test = None
     for i, c in enumerate(keys):
         one = df[c].cast("string") == F.col(f"__k{i}").cast("string")
         test = one if test is None else test & one
-    out = df.join(hint, test, "left")
+    out = df.join(first, test, "left")
     return out.withColumn(value, F.when(F.col("__hit").isNull(), F.lit(default)).otherwise(F.col("__hit.v"))).drop("__hit", *[f"__k{i}" for i in range(len(keys))])
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paths
 from .lineage import cut
 
 #: Named formats as patterns; upper-cased first where marked (fixed values).
@@ -38,25 +39,41 @@ STATES = "AK AL AR AS AZ CA CO CT DC DE FL GA GU HI IA ID IL IN KS KY LA MA MD M
 def format_ok(name: str, c: Column) -> Column:
     """Whether a text has a named format; unknown names pass."""
     if name in PATTERNS:
-        return F.regexp_like(c, F.lit(PATTERNS[name].replace("$", r"\z") if name != "url" else PATTERNS[name]))
+        fits = F.regexp_like(c, F.lit(_whole(PATTERNS[name])))
+        return fits & (F.length(c) <= 253) if name == "hostname" else fits
     if name in UPPER_PATTERNS:
-        return F.regexp_like(F.upper(c), F.lit(UPPER_PATTERNS[name].replace("$", r"\z")))
+        own = F.regexp_replace(c, r"\s", "") if name == "iban" else c
+        return F.regexp_like(F.upper(own), F.lit(_whole(UPPER_PATTERNS[name])))
     if name in ("credit-card", "creditcard"):
         digits = F.regexp_replace(c, r"[\s-]", "")
         return F.regexp_like(c, F.lit(r"^[\d\s-]{13,25}$")) & F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if name == "ipv6":
-        group = r"^[0-9a-fA-F]{1,4}$"
+        group = r"^[0-9a-fA-F]{1,4}\z"
         parts = F.split(c, "::", -1)
-        sides = F.flatten(F.transform(parts, lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(F.split(p, ":", -1))))
+        # Empty groups at the end of a side don't count.
+        sides = F.flatten(F.transform(parts, lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(p, ":+$", ""), ":", -1))))
         fine = F.forall(sides, lambda g: F.regexp_like(g, F.lit(group)))
         return F.contains(c, F.lit(":")) & fine & ((F.size(parts) == 1) & (F.size(sides) == 8) | (F.size(parts) == 2) & (F.size(sides) <= 7))
     if name == "currency-code":
-        return F.upper(c).isin(*CURRENCIES)
+        return c.isin(*CURRENCIES)
     if name == "state-us":
-        return F.upper(c).isin(*STATES)
+        return c.isin(*STATES)
     return F.lit(True)
 
 
+def formats_ok(name: Column, c: Column) -> Column:
+    """Whether a text has the format that another column names; unknown names pass."""
+    out = F.when(F.lit(False), F.lit(True))
+    for known in FORMATS:
+        out = out.when(name == known, format_ok(known, c))
+    return out.otherwise(F.lit(True))
+
+
+def _whole(pattern: str) -> str:
+    """The pattern with its last sign, the end of the text, strict about a line break there."""
+    return pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
+
+
 FORMATS = (*PATTERNS, *UPPER_PATTERNS, "credit-card", "creditcard", "ipv6", "currency-code", "state-us", "date-iso")
 
 
@@ -110,11 +127,6 @@ ADMITS = {"number": ("integer", "currency"), "string": ("date", "timestamp", "ti
 NUMERIC = ("number", "integer", "currency", "percent")
 
 
-def _general(path: Column) -> Column:
-    """A path with all its indices as ``[]``: what rules name."""
-    return F.regexp_replace(path, r"\[\d+\]", "[]")
-
-
 def _error(df: DataFrame, code: str, path, message) -> DataFrame:
     path = F.lit(path) if isinstance(path, str) else path
     message = F.lit(message) if isinstance(message, str) else message
@@ -124,27 +136,27 @@ def _error(df: DataFrame, code: str, path, message) -> DataFrame:
 def validate(assignments: DataFrame, schema: Schema) -> DataFrame:
     """All errors. Value rules share one scan of the assignments; per-document rules share one aggregation.
 
-    Rules are matched by an equality join on the general path with a small table of literals, so the plan's size grows
-    with the schema and its running time with the data.
+    The rules are expressions chosen by the general path: the plan's size grows with the schema, and a value is tested by the
+    rules of its own path only. References need a shuffle, which is left out where a first pass finds none.
     """
-    rows = assignments.where(F.col("path").isNotNull()).withColumn("general", _general(F.col("path")))
+    rows = assignments.where(F.col("path").isNotNull()).withColumn("general", paths.general(F.col("path")))
     parts = [_values(rows, schema), _documents(rows, schema)]
     parts += [_unique(rows, a) for a in schema.arrays if a.unique or a.unique_field]
     parts += [_references(rows)]
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+    parts = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else _error(rows.where(F.lit(False)), "", "", "")
 
 
 def _values(rows: DataFrame, schema: Schema) -> DataFrame | None:
-    """V002 to V005 and V011: an array of errors for each value, exploded."""
-    found = []
+    """V002 to V005 and V011: an array of errors for each value, exploded. Only the rules of a value's own path are tested."""
+    by_path: dict[str, list] = {}
     known = {f.path for f in schema.fields}
     text, number, kind = F.col("text"), F.col("number"), F.col("type")
     for f in schema.fields:
-        here = F.col("general") == f.path
-        present = here & (kind != "null")
+        present = kind != "null"
 
-        def say(code, test, message):
-            found.append(F.when(test, F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))))
+        def say(code, test, message, path=f.path):
+            by_path.setdefault(path, []).append(_told(code, test, message))
 
         if f.type:
             say("V002", present & ~kind.isin(f.type, *ADMITS.get(f.type, ())), f"expected {f.type}")
@@ -163,21 +175,35 @@ def _values(rows: DataFrame, schema: Schema) -> DataFrame | None:
             else:
                 say("V004", present & (kind == "string"), "unsafe pattern")
         if f.format:
-            say("V004", present & (kind == "string") & ~format_ok(f.format, text), f"not a valid {f.format}")
+            # Unlike the format itself, a rule of date-iso asks for a date's form.
+            fine = format_ok("date" if f.format == "date-iso" else f.format, text)
+            say("V004", present & kind.isin("string", "date", "timestamp", "time") & ~fine, f"not a valid {f.format}")
         if f.enum:
             say("V005", present & ~text.isin(*map(str, f.enum)), "not one of the allowed values")
     if schema.strict:
         tops = [p for a in schema.arrays for p in (a.path,)]
         fine = F.col("general").isin(*known) if known else F.lit(False)
-        for p in tops:
-            fine = fine | F.startswith(F.col("general"), F.lit(f"{p}[]"))
-        found.append(F.when(~fine & ~F.startswith(F.col("general"), F.lit("$")), F.struct(F.lit("V011").alias("code"), F.lit("unknown field").alias("message"))))
-    if not found:
+        for p in tops:  # an item itself; its fields are known by their own rules
+            fine = fine | (F.col("general") == f"{p}[]")
+        unknown = F.array(_told("V011", ~fine & ~F.startswith(F.col("general"), F.lit("$")), "unknown field"))
+    else:
+        unknown = None
+    if not by_path and unknown is None:
         return None
-    errors = rows.select("doc_id", "path", F.explode(F.array_compact(F.array(*found))).alias("e"))
+    found = unknown if unknown is not None else F.array().cast("array<struct<code:string,message:string>>")
+    if by_path:
+        of_path = None
+        for path, tests in by_path.items():
+            of_path = (F if of_path is None else of_path).when(F.col("general") == path, F.array(*tests))
+        found = of_path.otherwise(found)
+    errors = rows.select("doc_id", "path", F.explode(F.array_compact(found)).alias("e"))
     return errors.select("doc_id", F.col("e.code").alias("code"), "path", F.col("e.message").alias("message"))
 
 
+def _told(code: str, test: Column, message: str) -> Column:
+    return F.when(test, F.struct(F.lit(code).alias("code"), F.lit(message).alias("message")))
+
+
 def _value_of(path: str, what: str) -> Column:
     """An aggregate: the text or number at a path of the document."""
     return F.max(F.when(F.col("path") == path, F.col(what)))
@@ -270,15 +296,15 @@ def _unique(rows: DataFrame, a: ArrayRule) -> DataFrame:
     return _error(again, "V007", F.concat(F.lit(f"{a.path}["), F.col("i"), F.lit("]")), "not unique")
 
 
-def _references(rows: DataFrame) -> DataFrame:
+def _references(rows: DataFrame) -> DataFrame | None:
     """V013 and V012: references to no path, and chains of references that come back to themselves."""
     refs = rows.where("type = 'reference'").select("doc_id", "path", F.col("text").alias("target"))
+    most = refs.groupBy("doc_id").agg(F.count_distinct("path").alias("n")).agg(F.max("n")).first()[0]
+    if not most:
+        return None
     targets = rows.select("doc_id", F.col("path").alias("target")).distinct()
     lost = refs.where(~F.contains("target", F.lit("*"))).join(targets, ["doc_id", "target"], "left_anti")
     unresolved = _error(lost, "V013", F.col("path"), "unresolved reference")
-    most = refs.groupBy("doc_id").agg(F.count_distinct("path").alias("n")).agg(F.max("n")).first()[0]
-    if not most:
-        return unresolved
     # A chain is followed by pointer doubling: after k rounds a pointer has jumped 2**k references, in the end more
     # than any document has.
     jump = refs

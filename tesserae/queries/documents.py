@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators import exports as E
+from ..operators import paths as P
 from ..operators import validation as V
+from ..operators.builder import Builder
 from .mappings import read
 
 QUERIES: dict = {}
@@ -80,6 +83,58 @@ def document_export_flat(spark, sf_dir):
     return D.export_flat(D.assignments_of(read(spark, sf_dir, "nation"), "n_nationkey"))
 
 
+def _built(spark, sf_dir):
+    """A document of each customer: metadata, a section, an array of two items, a null."""
+    b = Builder().set_metadata("version", "string", "1").set_string("who.name", F.col("c_name"), ("required",)).set_integer("who.id", F.col("c_custkey")).set_string("gone", "x").set_null("note")
+    for i in range(2):
+        b.set_integer(f"rows[{i}].nation", F.col("c_nationkey") + i).set_string(f"rows[{i}].kind", F.when(F.col("c_custkey") % 2 == i, 'a "b", <c>'))
+    b.set_currency("who.owes", F.col("c_custkey"), "EUR").set_boolean("ok", F.col("c_custkey") > 5).remove("gone")
+    return b.build(read(spark, sf_dir, "customer"), "c_custkey")
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, p AS path, t AS type, v AS text FROM customer, LATERAL (VALUES ('$.version', 'string', '1'), ('who.name', 'string', c_name), ('who.id', 'integer', c_custkey::VARCHAR), ('note', 'null', NULL),
+    ('rows[0].nation', 'integer', c_nationkey::VARCHAR), ('rows[1].nation', 'integer', (c_nationkey + 1)::VARCHAR), ('rows[0].kind', CASE WHEN c_custkey % 2 = 0 THEN 'string' ELSE 'null' END, CASE WHEN c_custkey % 2 = 0 THEN 'a "b", <c>' END),
+    ('rows[1].kind', CASE WHEN c_custkey % 2 = 1 THEN 'string' ELSE 'null' END, CASE WHEN c_custkey % 2 = 1 THEN 'a "b", <c>' END), ('who.owes', 'currency', c_custkey || '.00:EUR'), ('ok', 'boolean', (c_custkey > 5)::VARCHAR)) w(p, t, v)""")
+def document_builder(spark, sf_dir):
+    return _built(spark, sf_dir).select("doc_id", "path", "type", "text")
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, '{"who": {"name": "' || c_name || '", "id": ' || c_custkey || ', "owes": ' || c_custkey || '}, "note": null, "rows": [{"nation": ' || c_nationkey || ', "kind": ' || CASE WHEN c_custkey % 2 = 0 THEN '"a \\"b\\", <c>"' ELSE 'null' END
+    || '}, {"nation": ' || (c_nationkey + 1) || ', "kind": ' || CASE WHEN c_custkey % 2 = 1 THEN '"a \\"b\\", <c>"' ELSE 'null' END || '}], "ok": ' || (c_custkey > 5)::VARCHAR || ', "$": {"version": "1"}}' AS json FROM customer""")
+def document_export_json(spark, sf_dir):
+    return E.to_json(_built(spark, sf_dir))
+
+
+_XML_ROW = """'  <rows_{i}_>' || chr(10) || '    <nation t:type="integer">' || (c_nationkey + {i}) || '</nation>' || chr(10)
+    || CASE WHEN c_custkey % 2 = {i} THEN '    <kind>a &quot;b&quot;, &lt;c&gt;</kind>' || chr(10) ELSE '' END || '  </rows_{i}_>' || chr(10)"""
+
+
+@query(f"""SELECT c_custkey::VARCHAR AS doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<root xmlns:t="urn:types">' || chr(10) || '  <who>' || chr(10) || '    <name t:required="true">' || c_name || '</name>' || chr(10)
+    || '    <id t:type="integer">' || c_custkey || '</id>' || chr(10) || '    <owes t:type="currency" t:currencyCode="EUR">' || c_custkey || '.00</owes>' || chr(10) || '  </who>' || chr(10)
+    || {_XML_ROW.format(i=0)} || {_XML_ROW.format(i=1)} || '  <ok t:type="boolean">' || (c_custkey > 5)::VARCHAR || '</ok>' || chr(10) || '</root>' || chr(10) AS xml FROM customer""")
+def document_export_xml(spark, sf_dir):
+    return E.to_xml(_built(spark, sf_dir), modifiers=True)
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, 'nation,kind' || chr(10) || c_nationkey || ',' || CASE WHEN c_custkey % 2 = 0 THEN '"a ""b"", <c>"' ELSE '' END || chr(10) || (c_nationkey + 1) || ',' || CASE WHEN c_custkey % 2 = 1 THEN '"a ""b"", <c>"' ELSE '' END || chr(10) AS csv FROM customer""")
+def document_export_csv(spark, sf_dir):
+    return E.to_csv(_built(spark, sf_dir))
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, rtrim(lpad(c_custkey::VARCHAR, 8, '0') || rpad(left(c_name, 10), 10, ' ') || '  ' || rpad(left((c_custkey > 5)::VARCHAR, 3), 3, ' ')) AS line FROM customer""")
+def document_export_fixed(spark, sf_dir):
+    columns = [{"path": "who.id", "pos": 0, "len": 8, "pad": "0", "align": "right"}, {"path": "who.name", "pos": 8, "len": 10}, {"path": "note", "pos": 18, "len": 2}, {"path": "ok", "pos": 20, "len": 3}]
+    return E.to_fixed_width(_built(spark, sf_dir), columns)
+
+
+@query("""SELECT n_nationkey, 'a.b[' || n_nationkey || '].c' AS built, ['a', 'b', '[' || n_nationkey || ']', 'c'] AS split, 'a.b[' || n_nationkey || ']' AS parent, 'c' AS leaf, 'a.b[].c' AS general, NULL AS no_parent FROM nation""")
+def path_parts(spark, sf_dir):
+    path = F.concat(F.lit("b["), F.col("n_nationkey"), F.lit("]"))
+    df = read(spark, sf_dir, "nation").withColumn("built", P.build("a", F.lit(""), path, "c"))
+    built = F.col("built")
+    return df.select("n_nationkey", "built", P.split(built).alias("split"), P.parent(built).alias("parent"), P.leaf(built).alias("leaf"), P.general(built).alias("general"), P.parent(F.lit("a")).alias("no_parent"))
+
+
 _SCHEMA = V.Schema(
     fields=[
         V.FieldRule("o_orderkey", "integer", required=True), V.FieldRule("o_totalprice", "number", minimum=1000, maximum=400000), V.FieldRule("o_orderstatus", "string", enum=("O", "F")), V.FieldRule("o_orderpriority", "string", pattern="^[1-4]-"),
@@ -115,14 +170,18 @@ SAMPLES = {
     "date-time": ("2024-01-01T10:00:00", "x"), "duration": ("P1DT2H", "1D"), "hostname": ("a.b-c.d", "-a"), "ipv4": ("1.2.3.255", "1.2.3.256"), "ipv6": ("::1", "1::2::3"), "phone": ("+1 (555) 123-4567", "12"), "credit-card": ("4111 1111 1111 1111", "4111111111111112"),
     "creditcard": ("4111111111111111", "1"), "ssn": ("123-45-6789", "000-12-3456"), "ein": ("12-3456789", "123456789"), "fein": ("12-3456789", "1"), "zip": ("12345-6789", "1234"), "vin": ("1hgcm82633a004352", "1HGCM82633A00435O"), "iban": ("DE89370400440532013000", "89DE"),
     "bic": ("DEUTDEFF", "DEU"), "swift": ("DEUTDEFF500", "X"), "routing": ("123456789", "12"), "cusip": ("037833100", "0"), "isin": ("US0378331005", "US"), "lei": ("5493001KJTIIGC8Y1R12", "5"), "npi": ("1234567890", "1"), "naic": ("12345", "1"), "dea": ("AB1234567", "A1"),
-    "imei": ("123456789012345", "1"), "iccid": ("1234567890123456789", "1"), "hex": ("0aF", "xyz"), "currency-code": ("usd", "XXQ"), "state-us": ("CA", "XX"), "date-iso": ("anything", None),
+    "imei": ("123456789012345", "1"), "iccid": ("1234567890123456789", "1"), "hex": ("0aF", "xyz"), "currency-code": ("USD", "usd"), "state-us": ("CA", "XX"), "date-iso": ("anything", None),
 }
 
 
-@query("SELECT r_regionkey, " + ", ".join(f"true AS good_{i}, {'NULL' if bad is None else 'false'} AS bad_{i}" for i, (_, bad) in enumerate(SAMPLES.values())) + " FROM region")
+def _samples():
+    return [(n, v, ok) for n, (good, bad) in SAMPLES.items() for v, ok in ((good, True), (bad, False)) if v is not None]
+
+
+@query("SELECT n_nationkey, name, value, ok FROM nation, (VALUES " + ", ".join(f"('{n}', '{v}', {ok})" for n, v, ok in _samples()) + ") v(name, value, ok)")
 def validate_formats(spark, sf_dir):
-    cols = []
-    for i, (name, (good, bad)) in enumerate(SAMPLES.items()):
-        cols.append(V.format_ok(name, F.lit(good)).alias(f"good_{i}"))
-        cols.append((V.format_ok(name, F.lit(bad)) if bad is not None else F.lit(None).cast("boolean")).alias(f"bad_{i}"))
-    return read(spark, sf_dir, "region").select("r_regionkey", *cols)
+    """Rows of format names and values, each tested by the format that its row names."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v, _ in _samples()])
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", F.inline(pairs))
+    # A repartition keeps the values from being folded into the plan: they are tested row by row.
+    return rows.repartition("name").select("n_nationkey", "name", "value", V.formats_ok(F.col("name"), F.col("value")).alias("ok"))

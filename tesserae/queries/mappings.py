@@ -41,9 +41,9 @@ place = %rowNumber "x"
 running = %round %accumulate "total" @.o_totalprice ##2
 """,
     """SELECT o_orderkey AS key, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'finished' ELSE 'other' END AS status, upper(o_orderpriority) AS priority,
-    isodow(o_orderdate)::BIGINT AS weekday, round(o_totalprice * 1.1, 2) AS taxed, row_number() OVER w AS place, round(sum(o_totalprice) OVER w, 2) AS running
+    isodow(o_orderdate)::BIGINT AS weekday, round((o_totalprice * 1.1)::DECIMAL(38, 9), 2)::DOUBLE AS taxed, row_number() OVER w AS place, round(sum(o_totalprice) OVER w, 2) AS running
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""",
-    head='{$}\nodin = "1.0.0"\nconst.rate = #1.1\n{$accumulator}\ntotal = #0\n{$table.STATUS[code,name]}\nO, "open"\nF, "finished"', order=("o_orderkey",), partition=("o_custkey",),
+    head='{$}\nconst.rate = #1.1\n{$accumulator}\ntotal = #0\n{$table.STATUS[code,name]}\nO, "open"\nF, "finished"', order=("o_orderkey",), partition=("o_custkey",),
 )
 
 mapped(

@@ -6,7 +6,7 @@ import csv
 import io
 import json
 import re
-import xml.etree.ElementTree as ET
+import xml.parsers.expat as expat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,28 +76,53 @@ def read_key_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xml_to_object(text: str):
-    """An element as objects: attributes ``@x``, mixed text ``_text``, repeats and ``item`` as arrays, nil as null."""
+    """An element as objects: attributes ``@x``, mixed text ``_text``, repeats and ``item`` as arrays.
 
-    def local(tag: str) -> str:
-        return tag.rpartition("}")[2]
+    Elements keep their prefixes, attributes lose them. ``<a/>`` and nil are null, ``<a></a>`` is an empty text; texts are trimmed.
+    """
+    parser = expat.ParserCreate("utf-8")
+    data, root = text.encode(), []
+    # Of each open element: attributes, texts, children in order by name.
+    open_ = [({}, [], {})]
 
-    def one(e, depth):
-        if depth > MOST_DEPTH:
+    def start(name, attributes):
+        if len(open_) > MOST_DEPTH + 1:
             raise ValueError("XML is nested too deep")
-        attributes = {f"@{local(k)}": v for k, v in e.attrib.items()}
-        if attributes.pop("@nil", None) in ("true", "1"):
-            return None
-        children: dict = {}
-        for c in e:
-            children.setdefault(local(c.tag), []).append(one(c, depth + 1))
-        shown = "".join([e.text or "", *[c.tail or "" for c in e]]).strip()
-        if not children and not attributes:
-            return e.text
-        out = attributes | {k: v if len(v) > 1 or k == "item" else v[0] for k, v in children.items()}
-        return out | ({"_text": shown} if shown else {})
-
-    root = ET.fromstring(text)
-    return {local(root.tag): one(root, 0)}
+        open_.append((attributes, [], {}))
+
+    def end(name):
+        attributes, texts, children = open_.pop()
+        # The event of an element that closes itself comes after its tag.
+        at = parser.CurrentByteIndex
+        value = _xml_value(attributes, "".join(texts).strip(), children, not texts and data[at - 2 : at] == b"/>")
+        open_[-1][2].setdefault(name, []).append(value)
+        if len(open_) == 1:
+            root.append((name, value))
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda s: open_[-1][1].append(s)
+    parser.EntityDeclHandler = _no_entities
+    parser.Parse(data, True)
+    return dict(root)
+
+
+def _no_entities(*_):
+    raise ValueError("entity declarations are not read")
+
+
+def _xml_value(attributes: dict, shown: str, children: dict, closed_itself: bool):
+    if (attributes.get("xsi:nil") or attributes.get("nil")) in ("true", "1"):
+        return None
+    if not children and not attributes:
+        return None if closed_itself else shown
+    out = {f"@{k.partition(':')[2] or k}": v for k, v in attributes.items() if not k.startswith("xmlns") and k not in ("xsi:nil", "nil", "nillable")}
+    if not children and not shown:
+        return out or None
+    if shown:
+        out["_text"] = shown
+    # Single children come first, in order, then repeats and items.
+    out |= {k: v[0] for k, v in children.items() if len(v) == 1 and k != "item"}
+    return out | {k: v for k, v in children.items() if len(v) > 1 or k == "item"}
 
 
 def _by_python(name: str):
@@ -140,9 +165,11 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema=None) -> DataF
     return (r.schema(schema) if schema is not None else r).load(path)
 
 
-def route_records(lines: DataFrame, plan, *, text_col: str = "value") -> dict[str, DataFrame]:
+def route_records(lines: DataFrame, plan, *, text_col: str = "value", order: tuple = ("_line",), partition: tuple = ()) -> dict[str, DataFrame]:
     """Multi-record text: one DataFrame per segment, its lines chosen by the discriminator and mapped.
 
+    ``_line`` rises with a line's place within its file's part; verbs of row order need a ``partition`` of the lines.
+
     The source's ``discriminator`` is ``:pos p :len n`` or ``:field k``; a segment's ``_type`` lists its values.
     """
     from ..plans.compiler import Transform
@@ -165,5 +192,5 @@ def route_records(lines: DataFrame, plan, *, text_col: str = "value") -> dict[st
         if "field" in numbers:
             own = own.withColumns({str(i): F.get(parts, F.lit(i)) for i in range(most + 1)})
         flat = Plan(source=plan.source, constants=plan.constants, tables=plan.tables, segments=[type(s)("", mappings=s.mappings)])
-        out[s.name] = Transform(flat).apply(own, keep=("_line",), order=("_line",))
+        out[s.name] = Transform(flat).apply(own, keep=("_line",), order=order, partition=partition)
     return out

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tesserae.functions.kernel import VERBS, CompileError
 from tesserae.operators import documents as D
+from tesserae.operators import exports as E
 from tesserae.operators import notation as N
 from tesserae.operators import validation as V
+from tesserae.operators.builder import Builder
 from tesserae.plans.compiler import Transform, register_verb
 from tesserae.plans.mapping import parse, parse_expression
+from tesserae.sources import readers as R
 from tesserae.streaming.transforms import transform_stream
 
 SF = "/root/testdata/sf0.001"
@@ -169,3 +172,57 @@ def test_query_matches_duckdb(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1500
+
+
+def test_xml_elements_as_objects():
+    text = """<r><b></b><c/><p:d xmlns:p="u">1</p:d><item> é1 </item><e>1</e><e>2</e><f n:k="v" nil="false">t</f><g xsi:nil="true">q</g><h k="1"/></r>"""
+    want = {"b": "", "c": None, "p:d": {"_text": "1"}, "f": {"@k": "v", "_text": "t"}, "g": None, "h": {"@k": "1"}, "item": ["é1"], "e": ["1", "2"]}
+    assert R.xml_to_object(text) == {"r": want}
+    assert R.xml_to_object("<a>x<b>1</b>y</a>") == {"a": {"_text": "xy", "b": "1"}} and R.xml_to_object("<a/>") == {"a": None}
+    for bad in ("<a>", "<!DOCTYPE a [<!ENTITY x 'y'>]><a>&x;</a>", "<a>" * 200 + "</a>" * 200):
+        with pytest.raises(Exception):  # noqa: B017
+            R.xml_to_object(bad)
+
+
+def test_formats_and_unknown_fields(spark):
+    cases = [("currency-code", "USD", True), ("currency-code", "usd", False), ("state-us", "ca", False), ("iban", "DE89 3704 0044 0532 0130 00", True), ("hostname", "a." * 126 + "ab", False), ("url", "https://a.b\n", False), ("ipv6", "1:2:3:4:5:6:7:8:", True), ("what", "x", True)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, name string, value string, ok boolean")
+    assert [r.i for r in df.where(V.formats_ok(F.col("name"), F.col("value")) != F.col("ok")).collect()] == []
+    values = [("items[0].a", "integer", "1"), ("items[0].b", "integer", "1"), ("items[1]", "string", "x"), ("when", "date", "2024-13-45"), ("at", "string", "2024-1-1")]
+    rows = spark.createDataFrame([("d", p, t, v, None) for p, t, v in values], "doc_id string, path string, type string, text string, number double")
+    schema = V.Schema(fields=[V.FieldRule("items[].a"), V.FieldRule("when", format="date-iso"), V.FieldRule("at", format="date-iso")], arrays=[V.ArrayRule("items")], strict=True)
+    assert sorted((r.code, r.path) for r in V.validate(rows, schema).collect()) == [("V004", "at"), ("V011", "items[0].b")]
+    assert V.validate(rows, V.Schema()).count() == 0
+
+
+def test_row_order_over_all_rows_is_refused(scalars):
+    with pytest.raises(CompileError, match="partition"):
+        Transform('{}\nn = %rowNumber "x"').apply(scalars, order=("id",))
+
+
+def test_rounding_is_that_of_the_decimal_text(spark):
+    df = spark.createDataFrame([(1.005,), (311582.535,), (-2.675,)], "x double")
+    assert [r.y for r in Transform("{}\ny = %round @.x ##2").apply(df).collect()] == [1.01, 311582.54, -2.68]
+
+
+def test_diff_pairs_equal_values_once(spark):
+    kind = "doc_id string, path string, type string, text string, number double, mods array<string>"
+    old = spark.createDataFrame([("d", "a", "string", "x", None, []), ("d", "b", "string", "x", None, []), ("d", "c", "string", "y", None, []), ("d", "m", "string", "z", None, []), ("d", "n", "number", "1E20", 1e20, [])], kind)
+    new = spark.createDataFrame([("d", "q", "string", "x", None, []), ("d", "c", "string", "Y", None, []), ("d", "m", "string", "z", None, ["required"]), ("d", "n", "number", "1E20", 1e20, [])], kind)
+    got = sorted((r.op, r.path, r.from_path) for r in D.diff(old, new).collect())
+    assert got == [("changed", "c", None), ("changed", "m", None), ("moved", "q", "a"), ("removed", "b", None)]
+
+
+def test_builder_and_exports(spark):
+    b = Builder().set_string("a.x", F.col("s")).set_integer("rows[1].v", 3).set_integer("rows[0].v", F.col("id")).set_string("gone", "x").remove("gone")
+    rows = b.build(spark.createDataFrame([(1, "<&>"), (2, None)], "id long, s string"), "id")
+    got = {r.doc_id: r.json for r in E.to_json(rows).collect()}
+    assert got == {"1": '{"a": {"x": "<&>"}, "rows": [{"v": 1}, {"v": 3}]}', "2": '{"a": {"x": null}, "rows": [{"v": 2}, {"v": 3}]}'}
+    xml = {r.doc_id: r.xml for r in E.to_xml(rows).collect()}
+    assert "<x>&lt;&amp;&gt;</x>" in xml["1"] and "<x>" not in xml["2"]
+    assert {r.csv for r in E.to_csv(rows).collect()} == {"v\n1\n3\n", "v\n2\n3\n"}
+    line = {r.doc_id: r.line for r in E.to_fixed_width(rows, [{"path": "a.x", "pos": 1, "len": 2}, {"path": "rows[0].v", "pos": 3, "len": 3, "align": "right", "pad": "0"}]).collect()}
+    assert line == {"1": " <&001", "2": "   002"}
+    for f in (E.to_json, E.to_xml, E.to_csv):
+        assert f(rows.where("false")).count() == 0
+    assert {r.doc_id: r.has for r in D.has(rows, "a.x").collect()} == {"1": True, "2": True}
