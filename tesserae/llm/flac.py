@@ -1,9 +1,10 @@
 """Media columns: bytes as FLAC (mono, 8 bits, blocks of 576 samples), written and read in numpy.
 
 The encoder tries for every block a constant, fixed predictors of order 0 to 2, a linear predictor of order 2 and plain
-samples, and Rice-codes the residuals. The decoder finds frames by sync code, header CRC-8 and frame number, verifies
+samples, and Rice-codes the residuals. The decoder of these streams finds frames by sync code, header CRC-8 and frame number, verifies
 each frame's CRC-16 and the stream's MD5, decodes Rice residuals, runs the predictors and hands out PCM blocks with
-their sample and byte offsets. Both work on many blocks at once: step t handles sample t of every block.
+their sample and byte offsets. Both work on many blocks at once: step t handles sample t of every block. Streams of another
+layout are read frame by frame (``flac_stream``), which also reads from a seek point on.
 
 Cases: null text is empty; an empty payload is one block of filler bytes; texts of any length are stored whole, a run
 of blocks at a time; equal texts give equal rows; an empty table gives an empty table; a damaged stream raises
@@ -20,7 +21,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, small_batches
+from .flac_stream import pcm, read_blocks, read_info
 
 BLOCK = 576
 #: Blocks handled at once: the bound on memory (about 600 bytes a sample while bits are packed).
@@ -197,22 +199,18 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def _split(stream: bytes) -> tuple[int, bytes, list[int], list[tuple[int, int]], list[int]]:
-    """(samples, MD5, offsets of frames, seek points, header lengths); the last offset is the end."""
-    if stream[:4] != b"fLaC":
-        raise ValueError("not a FLAC stream")
-    at, last, info, points = 4, False, b"", []
-    while not last:
-        last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
-        body = stream[at + 4 : at + 4 + size]
-        if kind == 0:
-            info = body
-        elif kind == 3:
-            points = [struct.unpack(">QQ", body[k : k + 16]) for k in range(0, size, 18)]
-        at += 4 + size
-    samples = int.from_bytes(info[10:18], "big") & ((1 << 36) - 1)
+class OtherLayout(ValueError):
+    """A sound stream that this module did not write."""
+
+
+def _split(stream: bytes) -> tuple[int, bytes, list[int], list[int]]:
+    """(samples, MD5, offsets of frames, header lengths); the last offset is the end."""
+    info = read_info(stream)
+    if (info.block, info.channels, info.depth, info.rate) != (BLOCK, 1, 8, RATE) or info.samples % BLOCK:
+        raise OtherLayout
+    at = info.start
     starts, heads, find = [], [], at
-    for number in range(samples // BLOCK):
+    for number in range(info.samples // BLOCK):
         head = frame_header(number)
         # The next frame is where its own header stands, which carries its number and CRC-8.
         where = stream.find(head, find)
@@ -221,7 +219,7 @@ def _split(stream: bytes) -> tuple[int, bytes, list[int], list[tuple[int, int]],
         starts.append(where)
         heads.append(len(head))
         find = where + len(head) + 2
-    return samples, info[18:34], [*starts, len(stream)], [(s, o + at) for s, o in points], heads
+    return info.samples, info.md5, [*starts, len(stream)], heads
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
@@ -301,17 +299,17 @@ def _decode_run(data: np.ndarray, starts: np.ndarray, heads: np.ndarray) -> np.n
             precision = np.unique(bits.unsigned(4)) + 1
             shift = np.unique(bits.signed(5))
             if len(precision) > 1 or len(shift) > 1 or shift[0] < 0:
-                raise ValueError("mixed predictors in a run")
+                raise OtherLayout
             coefs = [bits.signed(int(precision[0])) for _ in range(order)]
         method, parts = bits.unsigned(2), bits.unsigned(4)
         if (method > 1).any() or len(np.unique(parts)) > 1 or len(np.unique(method)) > 1:
-            raise ValueError("mixed residual coding in a run")
+            raise OtherLayout
         each, width = BLOCK >> int(parts[0]), 4 + int(method[0])
         for t in range(order, BLOCK):
             if t == order or t % each == 0:
                 k = bits.unsigned(width)
                 if (k == (1 << width) - 1).any():
-                    raise ValueError("escaped partitions aren't read")
+                    raise OtherLayout
                 shift_low = (63 - k).astype(np.uint64)
             u = bits.rice(k, shift_low)
             x[t] = u >> 1 ^ -(u & 1)
@@ -340,7 +338,7 @@ def decode_many(streams: list[bytes], *, offsets: bool = False):
     empty = np.zeros(0, np.int64)
     starts = np.concatenate([empty, *[np.array(p[2][:-1], np.int64) + b for p, b in zip(parsed, base, strict=False)]])
     ends = np.concatenate([empty, *[np.array(p[2][1:], np.int64) + b for p, b in zip(parsed, base, strict=False)]])
-    heads = np.concatenate([empty, *[np.array(p[4], np.int64) for p in parsed]])
+    heads = np.concatenate([empty, *[np.array(p[3], np.int64) for p in parsed]])
     pcm = []
     for at in range(0, len(starts), RUN):
         s, e, h = starts[at : at + RUN], ends[at : at + RUN], heads[at : at + RUN]
@@ -351,7 +349,7 @@ def decode_many(streams: list[bytes], *, offsets: bool = False):
         pcm.append(_decode_run(part, s - s[0], h).astype(np.int8))
     every = np.concatenate(pcm).reshape(-1) if pcm else np.zeros(0, np.int8)
     out, at = [], 0
-    for samples, md5, frames, _, _ in parsed:
+    for samples, md5, frames, _ in parsed:
         own = every[at : at + samples]
         at += samples
         if hashlib.md5(own.tobytes()).digest() != md5:
@@ -374,24 +372,31 @@ def feature(payload: bytes) -> str:
 
 
 def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", media: bool = False) -> DataFrame:
-    """Store each text as FLAC, read it back and describe it; with ``media`` also the stream itself."""
+    """Store each text as FLAC, read it back and describe it; with ``media`` also the stream itself.
+
+    ``n_blocks`` and ``blocks_sha256`` tell the blocks' places: pairs of first sample and byte offset.
+    """
 
     def worker():
         def process(texts):
             both = [padded(t) for t in texts]
             streams = encode_many([p for _, p in both])
-            for (n, _), stream, back in zip(both, streams, decode_many(streams), strict=True):
-                row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(back))
+            for (n, _), stream, (back, frames) in zip(both, streams, decode_many(streams, offsets=True), strict=True):
+                blocks = np.stack([np.arange(len(frames) - 1) * BLOCK, np.array(frames[:-1])], 1).astype("<i8")
+                row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(back), len(blocks), hashlib.sha256(blocks.tobytes()).hexdigest())
                 yield row + (stream,) if media else row
 
         return process
 
-    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", media binary" if media else "")
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, blocks_sha256 string" + (", media binary" if media else "")
     return map_texts(docs, id_col, text_col, fields, worker, 2_000_000)
 
 
 def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per PCM block: id, block, first_sample, media_offset (of its frame), pcm (signed 8-bit samples)."""
+    """One row per PCM block: id, block, first_sample, media_offset (of its frame), pcm (signed samples, interleaved).
+
+    Any FLAC stream is read; a null one has no blocks.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType
@@ -404,10 +409,23 @@ def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
             for key, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if stream is None:
                     continue
-                [(payload, frames)] = decode_many([stream], offsets=True)
-                pcm = (np.frombuffer(payload, np.uint8) ^ 128).tobytes()
-                n = len(pcm) // BLOCK
-                columns = [[key] * n, list(range(n)), [k * BLOCK for k in range(n)], frames[:n], [pcm[k * BLOCK : (k + 1) * BLOCK] for k in range(n)]]
+                rows = list(_blocks(bytes(stream)))
+                columns = [[key] * len(rows), list(range(len(rows))), *zip(*rows, strict=True)] if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    small_batches(media.sparkSession)
     return media.select(id_col, media_col).mapInArrow(run, schema)
+
+
+def _blocks(stream: bytes):
+    """(first sample, place of the frame, PCM) of each block."""
+    try:
+        [(payload, frames)] = decode_many([stream], offsets=True)
+    except OtherLayout:
+        depth = read_info(stream).depth
+        for first, at, x in read_blocks(stream):
+            yield first, at, pcm(x, depth)
+        return
+    signed = (np.frombuffer(payload, np.uint8) ^ 128).tobytes()
+    for k, at in enumerate(frames[:-1]):
+        yield k * BLOCK, at, signed[k * BLOCK : (k + 1) * BLOCK]

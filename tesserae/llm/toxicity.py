@@ -19,18 +19,19 @@ document counts); without labels of both classes every score is the smoothed sha
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix64, release, slices, span_hashes
+from .common import map_texts, mix64, release, slices, small_batches, span_hashes
 from .gbt import platt
 
 #: Rows of the embedding table, vector length, n-gram lengths, words in a window, share of the windows that count.
 BUCKETS, DIM, GRAMS, WINDOW, SHARE = 1 << 17, 8, (3, 4, 5, 6), 2, 0.02
 #: Words of a passage that counts by itself.
 RUN = 10
-#: At most so many labelled rows of each class fit the model: those of smallest crc32(doc_id), whatever the table's size.
-FIT_ROWS = 1500
+#: At most so many labelled rows of each class, and so many code points of their texts, fit the model: those of smallest
+#: crc32(doc_id), whatever the table's size. A text is taken whole or not at all; the first one always is.
+FIT_ROWS, FIT_TEXT = 1500, 12_000_000
 EPOCHS, RATE, SEED = 5, 0.3, 5
 #: Longer words are taken as pieces of so many code points that overlap by ``max(GRAMS) - 1``: no n-gram is lost.
 PIECE = 16
@@ -261,8 +262,16 @@ def fit_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
         picked = part if picked is None else picked.unionByName(part)
     got = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
     got = got.groupBy(id_col).agg(F.max("__y").alias("__y"), F.max(text_col).alias("__text"))
-    pairs = sorted((r[id_col], r["__y"], r["__text"] or "") for r in got.collect())
-    return fit([p[2] for p in pairs], [p[1] for p in pairs])
+    # A window over the few chosen rows of a class: the driver gets no more text than the bound.
+    order = Window.partitionBy("__y").orderBy(crc, id_col).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.coalesce(F.length("__text"), F.lit(0))).over(order), F.lit(0))
+    size = F.coalesce(F.length("__text"), F.lit(0))
+    got = got.withColumns({"__before": before, "__size": size}).where((F.col("__before") == 0) | (F.col("__before") + F.col("__size") <= FIT_TEXT))
+    pairs = sorted((r[id_col], r["__y"], r["__text"] or "") for r in got.select(id_col, "__y", "__text").collect())
+    model = fit([p[2] for p in pairs], [p[1] for p in pairs])
+    del pairs
+    release()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -292,4 +301,5 @@ def reject(docs: DataFrame, model: Model, *, text_col: str = "text", threshold:
             yield batch.filter(pa.array(kept, pa.bool_()))
             release()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

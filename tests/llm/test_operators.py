@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, chat, flac, gbt, graph, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
+from tesserae.llm import bpe, chat, flac, flac_stream, gbt, graph, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
 from tesserae.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n long, token string, component_id string"
@@ -473,6 +473,105 @@ def test_flac_signals_and_damage():
     assert flac.crc16(np.frombuffer(b"123456789", np.uint8), np.array([0]), np.array([9]))[0] == c
 
 
+class BitWriter:
+    """Hand-made frames, bit by bit."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, width):
+        self.bits += format(value & ((1 << width) - 1), f"0{width}b") if width else ""
+        return self
+
+    def rice(self, value, k):
+        u = 2 * value if value >= 0 else -2 * value - 1
+        self.bits += "0" * (u >> k) + "1"
+        return self.put(u, k)
+
+    def bytes(self):
+        bits = self.bits + "0" * (-len(self.bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def plain_crc(data, poly, width):
+    c = 0
+    for b in data:
+        c ^= b << (width - 8)
+        for _ in range(8):
+            c = ((c << 1) ^ poly if c >> (width - 1) & 1 else c << 1) & ((1 << width) - 1)
+    return c
+
+
+def hand_made_stream(channels_code, depth, n, subframes, pcm, channels):
+    """A stream of one frame with a block of ``n`` samples, whose subframes are written already."""
+    head = bytes([0xFF, 0xF8, 0x70, channels_code << 4 | {8: 1, 16: 4}[depth] << 1, 0]) + (n - 1).to_bytes(2, "big")
+    frame = head + bytes([plain_crc(head, 0x07, 8)]) + subframes.bytes()
+    frame += plain_crc(frame, 0x8005, 16).to_bytes(2, "big")
+    info = n.to_bytes(2, "big") * 2 + bytes(6) + (44100 << 44 | (channels - 1) << 41 | (depth - 1) << 36 | n).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + frame
+
+
+def test_flac_reads_streams_of_others(spark):
+    rng = random.Random(2)
+    # Mono, 16 bits, linear predictor of order 4, two partitions (the second escaped), two wasted bits.
+    n, coefs, shift = 16, [3, -2, 1, 1], 1
+    x = [rng.randint(-300, 300) for _ in range(4)]
+    residual = [rng.randint(-40, 40) for _ in range(12)]
+    for t in range(4, n):
+        x.append(residual[t - 4] + (sum(c * x[t - 1 - j] for j, c in enumerate(coefs)) >> shift))
+    assert max(map(abs, x)) < 1 << 40
+    w = BitWriter().put(0, 1).put(32 + 3, 6).put(1, 1).put(0b01, 2)
+    for v in x[:4]:
+        w.put(v, 14)
+    w.put(5 - 1, 4).put(shift, 5)
+    for c in coefs:
+        w.put(c, 5)
+    w.put(0, 2).put(1, 4).put(3, 4)
+    for v in residual[:4]:
+        w.rice(v, 3)
+    w.put(15, 4).put(9, 5)
+    for v in residual[4:]:
+        w.put(v, 9)
+    # Samples outgrow 16 bits here; only their low bytes are PCM, as for any stream.
+    samples = np.array([x], np.int64) << 2
+    mono = hand_made_stream(0, 16, n, w, flac.pcm(samples, 16), 1)
+    # Stereo, 8 bits, mid and side: a fixed predictor of order 3 with five-bit parameters, and plain samples.
+    left, right = [rng.randint(-100, 100) for _ in range(8)], [rng.randint(-100, 100) for _ in range(8)]
+    mid, side = [(a + b) >> 1 for a, b in zip(left, right, strict=True)], [a - b for a, b in zip(left, right, strict=True)]
+    w = BitWriter().put(0, 1).put(8 + 3, 6).put(0, 1)
+    for v in mid[:3]:
+        w.put(v, 8)
+    w.put(1, 2).put(0, 4).put(6, 5)
+    for t in range(3, 8):
+        w.rice(mid[t] - 3 * mid[t - 1] + 3 * mid[t - 2] - mid[t - 3], 6)
+    w.put(0, 1).put(1, 6).put(0, 1)
+    for v in side:
+        w.put(v, 9)
+    both = np.array([left, right])
+    stereo = hand_made_stream(10, 8, 8, w, flac.pcm(both, 8), 2)
+    assert [b[2].tolist() for b in flac_stream.read_blocks(mono)] == [samples.tolist()]
+    assert [b[2].tolist() for b in flac_stream.read_blocks(stereo)] == [both.tolist()]
+    rows = flac.pcm_blocks(spark.createDataFrame([(1, mono), (2, stereo), (3, None)], "doc_id long, media binary")).collect()
+    assert {r.doc_id: (r.block, r.first_sample, bytes(r.pcm)) for r in rows} == {1: (0, 0, flac.pcm(samples, 16)), 2: (0, 0, flac.pcm(both, 8))}
+    for at in (len(mono) - 1, len(mono) - 8, len(mono) - len(mono) // 3):
+        broken = bytearray(mono)
+        broken[at] ^= 16
+        with pytest.raises(ValueError):
+            list(flac_stream.read_blocks(bytes(broken)))
+
+
+def test_flac_agrees_with_the_plain_reader_and_seeks():
+    rng = np.random.default_rng(3)
+    payload = (prose(1, 9000).encode() + rng.integers(0, 256, 3000, dtype=np.uint8).tobytes())[: 576 * 40]
+    [stream] = flac.encode_many([payload])
+    want = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    blocks = list(flac_stream.read_blocks(stream))
+    assert np.concatenate([b[2][0] for b in blocks]).tolist() == want.tolist() and [b[0] for b in blocks] == [576 * k for k in range(40)]
+    assert [b[1] for b in blocks] == flac.decode_many([stream], offsets=True)[0][1][:-1]
+    for first, count in ((0, 5), (575, 2), (576 * 20 + 3, 1000), (576 * 40 - 1, 9), (576 * 16, 576)):
+        assert flac_stream.read_range(stream, first, count)[0].tolist() == want[first : first + count].tolist()
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
