@@ -30,6 +30,32 @@ def pack(keys: np.ndarray) -> bytes:
     return (keys >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
+def distinct(sets: list[np.ndarray], owner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, owners, shared) of a batch's sets of keys: its sorted distinct keys with the number of their set, and how many
+    keys of each set another set of the batch has too; these have no owner."""
+    sizes = [len(s) for s in sets]
+    keys, owners = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, owners = keys[order], owners[order]
+    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    twice = np.bincount(np.cumsum(first) - 1, minlength=1)[np.cumsum(first) - 1] > 1 if len(keys) else first
+    shared = np.bincount(owners[twice], minlength=len(sets))
+    return keys[first], np.where(twice, np.iinfo(owner).max, owners)[first].astype(owner), shared
+
+
+def counted(replies: DataFrame, owner) -> DataFrame:
+    """(batch, idx, more): of each set of a batch, how many keys other batches have too. ``replies``: those of ``recurring``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch, rows in runs(batches, 0):
+            owners, counts = np.unique(np.concatenate([np.frombuffer(r[1], owner) for r in rows]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(owners), pa.int64()), pa.array(owners.astype(np.int32)), pa.array(counts.astype(np.int64))], names=["batch", "idx", "more"])
+
+    return replies.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, "batch long, idx int, more long")
+
+
 def unpack(raw: bytes) -> np.ndarray:
     wide = np.zeros((len(raw) // WIDTH, 8), np.uint8)
     wide[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)

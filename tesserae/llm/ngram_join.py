@@ -88,20 +88,12 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for at in range(0, len(ids), _BATCH_DOCS):
                     keys, some = ids[at : at + _BATCH_DOCS], texts[at : at + _BATCH_DOCS]
                     sets = [shingles(t) for t in some]
-                    sizes = np.array([len(s) for s in sets], np.int64)
-                    tokens = np.concatenate(sets)
-                    owners = np.repeat(np.arange(len(sets)), sizes)
-                    order = np.argsort(tokens, kind="stable")
-                    tokens, owners = tokens[order], owners[order]
-                    first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, bool)
-                    group = np.cumsum(first) - 1
-                    twice = np.bincount(group, minlength=1)[group] > 1 if len(tokens) else first
-                    shared = np.bincount(owners[twice], minlength=len(sets))
-                    owners = np.where(twice, np.iinfo(_OWNER).max, owners)[first].astype(_OWNER)
+                    sizes = [len(s) for s in sets]
+                    tokens, owners, shared = deal.distinct(sets, _OWNER)
                     prints = [_fingerprint(s) for s in sets]
                     md5 = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in some]
                     rows = [(-1, count, i, k, int(n), *f, m, int(c), None, None, None, None) for i, (k, n, f, m, c) in enumerate(zip(keys, sizes, prints, md5, shared, strict=True))]
-                    rows += [(r[0], count, *[None] * 7, *r[1:]) for r in deal.coarse_rows(tokens[first], owners, count)]
+                    rows += [(r[0], count, *[None] * 7, *r[1:]) for r in deal.coarse_rows(tokens, owners, count)]
                     count += 1
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema_names)
             release()
@@ -110,19 +102,6 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _FIRST)
 
 
-def _counted(replies: DataFrame) -> DataFrame:
-    """(batch, idx, more): how many of a document's columns recur in other batches."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch, rows in deal.runs(batches, 0):
-            owners, counts = np.unique(np.concatenate([np.frombuffer(r[1], _OWNER) for r in rows]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(owners), pa.int64()), pa.array(owners.astype(np.int32)), pa.array(counts.astype(np.int64))], names=["batch", "idx", "more"])
-
-    return replies.mapInArrow(run, "batch long, idx int, more long")
-
-
 def _sets(docs: DataFrame, left: DataFrame, id_col: str, text_col: str, few: bool) -> DataFrame:
     """(node, n, tokens) of the classes in ``left``: their texts are fetched by id and shingled again."""
     ids = left.select(F.col("first_id").alias("__first")).distinct()
@@ -288,9 +267,9 @@ def classes_and_labels(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     scanned = scratch.keep(_scan(docs, id_col, text_col))
-    replies = deal.recurring(scanned.where("kind >= 0"), _OWNER).repartition("batch").sortWithinPartitions("batch")
+    more = deal.counted(deal.recurring(scanned.where("kind >= 0"), _OWNER), _OWNER)
     rows = scanned.where("kind = -1").select("batch", "idx", "doc_id", "n", "fp_a", "fp_b", "md5", "shared")
-    counted = rows.join(_counted(replies), ["batch", "idx"], "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0))).drop("more")
+    counted = rows.join(more, ["batch", "idx"], "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0))).drop("more")
     rows = scratch.keep(counted)
     scratch.drop(scanned)
     classes = rows.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("first_id"), F.max("shared").alias("shared"))

@@ -13,6 +13,11 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere
    blocks follows the counted strings.
 4. Shards mark the covered bytes.
 
+Beside it, passages are counted by words, since ``PASSAGE_WORDS`` words can be fewer than ``LENGTH`` bytes: ``n_passages`` is
+how many anchors of a text (the least hash of ``PASSAGE_GRAM``-word strings within ``PASSAGE_WORDS`` words) stand elsewhere too.
+It is one or more for any text that shares ``PASSAGE_WORDS`` words in a row with another place, and none for one that
+shares fewer than ``PASSAGE_GRAM``. It removes nothing.
+
 Fingerprints have 64 bits besides the block's own hash; anchors only pre-select. Cases: null text is empty; shorter
 texts lose nothing; equal texts of ``LENGTH`` bytes or more are removed whole; repeated rows and null ids are rows like
 others; an empty table gives an empty table; texts of any length are read whole, a shard holds
@@ -28,13 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import deal
-from .common import _TABLE, CHUNK, Scratch, mix64, powers, release, slices, small_batches
+from .common import _BASE_INV, _TABLE, CHUNK, Scratch, mix64, powers, release, slices, small_batches, span_hashes, word_spans
 from .ngram_join import BROADCAST_ROWS
 
 LENGTH, GRAM = 400, 200
 #: Bytes of fingerprints in a block, and bytes of text in a shard.
 BLOCK_BYTES, SHARD_BYTES = 6 << 20, 3 << 19
-_OWNER = deal.OWNER["many"]
+#: Words of a passage that is counted, and of the strings whose least hash is its anchor.
+PASSAGE_WORDS, PASSAGE_GRAM = 50, 35
+_OWNER, _TEXT = deal.OWNER["many"], deal.OWNER["few"]
+#: Kinds of the rows that deal passages' anchors, beyond those of byte anchors.
+_PASSAGES = 1 << 20
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BASE2 = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -91,7 +100,25 @@ def _segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return keys, first, last, twice
 
 
-_ROW = "kind long, batch long, idx int, doc_id long, n_bytes long, md5 string, sha string, batches binary, counts binary, keys binary, owners binary"
+def passages(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct anchors of a text's passages, which of them it has at two places or more)."""
+    words = span_hashes(np.frombuffer(raw, np.uint8), *word_spans(np.frombuffer(raw, np.uint8)))
+    if len(words) < PASSAGE_WORDS:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    total, up, down = np.zeros(len(words) + 1, np.uint64), powers(len(words) + 1), powers(len(words) + 1, _BASE_INV)
+    np.cumsum(words * up[:-1], out=total[1:])
+    n = len(words) - PASSAGE_GRAM + 1
+    grams = mix64((total[PASSAGE_GRAM:] - total[:n]) * down[:n])
+    width = PASSAGE_WORDS - PASSAGE_GRAM + 1
+    least = sliding_min(grams, width)
+    anchors = np.unique(least)
+    # An anchor's places are all its grams' places, within windows or not.
+    ordered = np.sort(grams)
+    again = np.searchsorted(ordered, anchors, "right") - np.searchsorted(ordered, anchors, "left") > 1
+    return anchors, again
+
+
+_ROW = "kind long, batch long, idx int, doc_id long, n_bytes long, md5 string, sha string, passages long, batches binary, counts binary, keys binary, owners binary"
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,7 +129,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         from pyspark import TaskContext
 
         count = TaskContext.get().partitionId() << 32
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * 4)
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * 4)
         for arrow in batches:
             for ids, texts in slices(arrow.column(0).to_pylist(), arrow.column(1).to_pylist(), 4_000_000):
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -120,9 +147,14 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sure[order] |= twice
                 ordinal = np.where(twice, np.iinfo(_OWNER).max, order)[first].astype(_OWNER)
                 digests = [(hashlib.md5(r).hexdigest(), hashlib.sha256(r).hexdigest()) for r in raws]
-                rows = [(-1, count, i, key, len(r), *d, None, None, None, None) for i, (key, r, d) in enumerate(zip(ids, raws, digests, strict=True))]
-                rows.append((-2, count, *[None] * 7, runs.tobytes(), sure.tobytes()))
-                rows += [(r[0], count, *[None] * 5, *r[1:]) for r in deal.coarse_rows(ordered[first], ordinal, count)]
+                phrases = [passages(r) for r in raws]
+                # What a text has twice is counted at once, without an answer from elsewhere.
+                alone, owner_of, near = deal.distinct([mix64(a[~twice]) for a, twice in phrases], _TEXT)
+                near = near + [int(twice.sum()) for _, twice in phrases]
+                rows = [(-1, count, i, key, len(r), *d, int(p), None, None, None, None) for i, (key, r, d, p) in enumerate(zip(ids, raws, digests, near, strict=True))]
+                rows.append((-2, count, *[None] * 8, runs.tobytes(), sure.tobytes()))
+                rows += [(r[0], count, *[None] * 6, *r[1:]) for r in deal.coarse_rows(ordered[first], ordinal, count)]
+                rows += [(_PASSAGES + r[0], count, *[None] * 6, *r[1:]) for r in deal.coarse_rows(alone, owner_of, count)]
                 count += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _ROW.split(", ")])
             release()
@@ -362,17 +394,19 @@ def _marked(pieces: DataFrame, blocks: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """A row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_bytes`` also the bytes left.
+    """A row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_passages; with ``keep_bytes`` also the bytes left.
 
     ``kept`` is null where nothing was removed.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     scanned = scratch.keep(_scan(docs, id_col, text_col))
-    replies = deal.recurring(scanned.where("kind >= 0"), _OWNER).select("batch", F.lit(0).cast("long").alias("kind"), F.col("owners").alias("keys"), F.lit(None).cast("binary").alias("owners"))
+    replies = deal.recurring(scanned.where(F.col("kind").between(0, _PASSAGES - 1)), _OWNER).select("batch", F.lit(0).cast("long").alias("kind"), F.col("owners").alias("keys"), F.lit(None).cast("binary").alias("owners"))
     replies = replies.unionByName(scanned.where("kind = -2").select("batch", "kind", "keys", "owners"))
     found = _candidates(replies.repartition("batch").sortWithinPartitions("batch"))
-    rows = scratch.keep(scanned.where("kind = -1").select("batch", "idx", "doc_id", "n_bytes", "md5", "sha"))
+    more = deal.counted(deal.recurring(scanned.where(F.col("kind") >= _PASSAGES), _TEXT), _TEXT)
+    rows = scanned.where("kind = -1").select("batch", "idx", "doc_id", "n_bytes", "md5", "sha", "passages").join(more, ["batch", "idx"], "left")
+    rows = scratch.keep(rows.withColumn("passages", F.col("passages") + F.coalesce("more", F.lit(0))).drop("more"))
     texts = rows.groupBy("md5").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
     chosen = scratch.keep(found.join(rows, ["batch", "idx"]).groupBy("md5").agg(F.first("runs").alias("runs"), F.max("starts").alias("starts"), F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n_bytes")))
     scratch.drop(scanned)
@@ -398,7 +432,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     result = [
         F.col("doc_id").alias(id_col), "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(whole, _EMPTY).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(whole, _EMPTY).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), F.col("passages").alias("n_passages"),
     ]
     if keep_bytes:
         result.append(F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
