@@ -64,9 +64,16 @@ def op10_flac(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_quality_rules, op4_suffix_array, op5_chat_formatting, op6_source_mixing, op7_byte_bpe, op8_token_counts, op9_toxicity, op10_flac)}
-#: The other queries hold trained models, components, suffix arrays, encoders or Newton's method, which SQL does not
-#: express; tests/llm hold them against brute force.
+#: The other queries hold trained models, suffix arrays and hashes, encoders or Newton's method, which SQL does not
+#: express; tests/llm hold them against brute force. That of op2 makes all pairs with a common shingle: for small tables.
 ORACLE_SQL = {
+    "op2_ngram_join": r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS own FROM w),
+    e AS (SELECT r, len(own) AS n, hash(unnest(own)) AS token FROM s),
+    p AS (SELECT a.r AS x, b.r AS y FROM e a JOIN e b ON a.token = b.token AND a.r < b.r AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    l AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+    c AS (SELECT r, r AS reached FROM s UNION SELECT c.r, l.y FROM c JOIN l ON c.reached = l.x)
+    SELECT s.doc_id, any_value(len(s.own))::BIGINT AS n_shingles, min(t.doc_id) AS component_id FROM s JOIN c USING (r) JOIN s t ON t.r = c.reached GROUP BY s.r, s.doc_id""",
     "op5_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
