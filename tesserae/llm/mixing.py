@@ -27,8 +27,11 @@ from .common import WORD, Scratch
 SHARE, CAP = 1.5, 2.0
 #: Weights by the source's place in the order, repeating (fixed value).
 WEIGHTS = (3, 1, 2)
-#: Newton's iterations end here at the latest, or when every constraint is met to this share.
-ITERATIONS, CLOSE_ENOUGH = 40, 1e-9
+#: Newton's iterations end when every constraint is met to this share, or its tilt is known to as many digits as doubles have.
+#: Bisection takes over where a step leaves the bracket, so far fewer iterations than this suffice; else an error is raised.
+CLOSE_ENOUGH, ITERATIONS = 1e-9, 200
+#: Tilts are sought between minus and plus this.
+BRACKET = float(1 << 20)
 #: Passes that move single documents.
 REPAIRS = 5
 #: The key of the null source; other sources' keys are an s and their name.
@@ -88,8 +91,8 @@ def _solve(sizes_: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
     """Newton's method on every source's dual: source and tilt (null where the target is the whole cap)."""
     mean = sizes_.groupBy("source").agg((F.sum(F.col("size") * F.col("rows")) / F.sum("rows")).alias("mean"))
     state = targets.join(mean, "source").select("source", "source_size", "target", "mean")
-    state = scratch.keep(state.withColumns({"tilt": F.lit(0.0), "lo": F.lit(-60.0), "hi": F.lit(60.0), "done": F.lit(False)}))
-    for step in range(ITERATIONS):
+    state = scratch.keep(state.withColumns({"tilt": F.lit(0.0), "lo": F.lit(-BRACKET), "hi": F.lit(BRACKET), "done": F.lit(False)}))
+    for _ in range(ITERATIONS):
         joined = sizes_.join(state, "source").select("source", "size", "rows", "mean", "tilt")
         z = F.coalesce(F.try_divide(F.col("size"), F.col("mean")), F.lit(0.0))
         share = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * z))))
@@ -102,14 +105,15 @@ def _solve(sizes_: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
         both = both.withColumns({"lo": lo, "hi": hi, "newton": F.col("tilt") - F.try_divide(F.col("words") - F.col("target"), F.col("slope"))})
         inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi"))
         done = F.abs(F.col("words") - F.col("target")) <= CLOSE_ENOUGH * F.greatest(F.col("target"), F.lit(1.0))
-        both = both.withColumn("done", done | (F.col("target") >= CAP * F.col("source_size")))
+        narrow = F.col("hi") - F.col("lo") <= 1e-14 * F.greatest(F.abs("tilt"), F.lit(1.0))
+        both = both.withColumn("done", done | narrow | (F.col("target") >= CAP * F.col("source_size")))
         both = both.withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when(inside, F.col("newton")).otherwise((F.col("lo") + F.col("hi")) / 2))
         new = scratch.keep(both.select("source", "source_size", "target", "mean", "tilt", "lo", "hi", "done"))
         scratch.drop(state)
         state = new
         if not state.where(~F.col("done")).limit(1).count():
-            break
-    return state
+            return state
+    raise ArithmeticError("Newton's iterations did not converge")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -175,13 +179,13 @@ def _repair(full: DataFrame, scratch: Scratch) -> DataFrame:
 def repeat_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row repeated by its copies (none to ``CAP``); all columns stay.
 
-    Rows are matched by id, source and size; rows that agree in all three are interchangeable to the mix.
+    Rows are matched by id, source and size; of rows that agree in all three those of smaller text hash are taken oftener.
     """
     key = ["__id", "__source", "__size"]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    nth = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
     identity = {"__id": named(id_col), "__source": named(source_col)}
     copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    plan = copies.withColumns(identity | {"__size": F.col("size")}).withColumn("__nth", nth).select(*key, "__nth", F.col("copies").cast("int").alias("__copies"))
-    rows = docs.withColumns(identity | {"__size": word_count(text_col)}).withColumn("__nth", nth)
+    plan = copies.withColumns(identity | {"__size": F.col("size")}).withColumn("__nth", nth(F.col("copies").desc())).select(*key, "__nth", F.col("copies").cast("int").alias("__copies"))
+    rows = docs.withColumns(identity | {"__size": word_count(text_col)}).withColumn("__nth", nth(F.xxhash64(text_col)))
     joined = rows.join(plan, [*key, "__nth"])
     return joined.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)

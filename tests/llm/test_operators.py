@@ -320,6 +320,43 @@ def test_chat_events_are_folded(spark):
 # 6
 
 
+def plain_targets(sizes, share=1.5, cap=2.0):
+    """The water level by bisection: weights 3, 1, 2 over sources in order."""
+    weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        level = (lo + hi) / 2
+        filled = sum(min(w * level, cap * n) for w, n in zip(weights, sizes, strict=True))
+        lo, hi = (level, hi) if filled < share * sum(sizes) else (lo, level)
+    return [min(w * hi, cap * n) for w, n in zip(weights, sizes, strict=True)]
+
+
+@pytest.mark.parametrize("spread", [1, 30])
+def test_mixing_is_an_exponential_tilt(spark, spread):
+    rng = random.Random(spread)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), f"s{int(rng.random() ** 3 * 7)}", 1) for i in range(500)] + [(1000 + i, "w " * 9, None, 1) for i in range(3 * spread)]
+    got = collections.defaultdict(list)
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, rate int")).collect():
+        got[r.source].append(r)
+    order = sorted(s for s in got if s is not None) + [None]
+    for s, want in zip(order, plain_targets([sum(r.size for r in got[s]) for s in order]), strict=True):
+        own = got[s]
+        assert all(abs(r.target - want) <= 1e-6 * want for r in own)
+        # The constraint holds before rounding, and the odds of a rate grow exponentially with the size.
+        assert abs(sum(r.rate * r.size for r in own) - want) <= 1e-6 * want
+        tilts = [np.log(r.rate / (2 - r.rate)) / r.size for r in own if 1e-9 < r.rate < 2 - 1e-9]
+        assert not tilts or np.ptp(tilts) <= 1e-6 * max(1, abs(tilts[0]))
+        # Copies are rates rounded down or up, but for the few documents moved afterwards.
+        assert sum(abs(r.copies - r.rate) > 1 + 1e-9 for r in own) <= mixing.REPAIRS
+        assert abs(sum(r.taken for r in own) - want) <= max(r.size for r in own)
+
+
+def test_repeated_ids_of_other_texts_are_mixed_alike_each_time(spark):
+    rows = [(1, f"{a} b c", "x") for a in "defghijk"] + [(i, "w " * i, "y") for i in range(30)]
+    runs = [collections.Counter(r.text for r in mixing.repeat_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_mixing(spark):
     texts = [prose(i, 5 + (i * 37) % 90) for i in range(400)] + [None, "", " "]
     docs = table(spark, texts)
