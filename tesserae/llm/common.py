@@ -58,6 +58,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder; any executor can read them after others are lost."""
 

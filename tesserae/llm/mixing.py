@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, fresh
 
 SHARE, CAP = 1.5, 2.0
 #: Weights by the source's place in the order, repeating (fixed value).
@@ -181,11 +181,11 @@ def repeat_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Rows are matched by id, source and size; of rows that agree in all three those of smaller text hash are taken oftener.
     """
-    key = ["__id", "__source", "__size"]
-    nth = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    identity = {"__id": named(id_col), "__source": named(source_col)}
-    copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    plan = copies.withColumns(identity | {"__size": F.col("size")}).withColumn("__nth", nth(F.col("copies").desc())).select(*key, "__nth", F.col("copies").cast("int").alias("__copies"))
-    rows = docs.withColumns(identity | {"__size": word_count(text_col)}).withColumn("__nth", nth(F.xxhash64(text_col)))
-    joined = rows.join(plan, [*key, "__nth"])
-    return joined.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    *key, nth, copies, one = fresh(docs, "__id", "__source", "__size", "__nth", "__copies", "__one")
+    place = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    identity = {key[0]: named(id_col), key[1]: named(source_col)}
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    plan = plan.withColumns(identity | {key[2]: F.col("size")}).withColumn(nth, place(F.col("copies").desc())).select(*key, nth, F.col("copies").cast("int").alias(copies))
+    rows = docs.withColumns(identity | {key[2]: word_count(text_col)}).withColumn(nth, place(F.xxhash64(text_col)))
+    joined = rows.join(plan, [*key, nth])
+    return joined.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import deal
-from .common import Scratch, lower_ascii, release, shingle_hashes, slices, small_batches, span_hashes, word_spans
+from .common import Scratch, fresh, lower_ascii, release, shingle_hashes, slices, small_batches, span_hashes, word_spans
 from .graph import components
 
 #: Words in a shingle; percent of the union that must be shared.
@@ -379,11 +379,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     joined = rows.join(best, "group").groupBy(key.alias("key")).agg(F.max((key == best_key).cast("int")).alias("stays"), F.count("*").alias("rows"))
     keys = scratch.keep(joined.where("stays = 0 or rows > 1"))
     text_md5 = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    own = docs.withColumn("__key", F.concat_ws(":", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), text_md5))
+    [name] = fresh(docs, "__key")
+    own = docs.withColumn(name, F.concat_ws(":", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), text_md5))
     few = keys.count() <= BROADCAST_ROWS
     size = (lambda d: F.broadcast(d)) if few else (lambda d: d)
-    out = own.join(size(keys.select(F.col("key").alias("__key"))), "__key", "left_anti")
-    again = keys.where("stays = 1").select(F.col("key").alias("__key"))
+    out = own.join(size(keys.select(F.col("key").alias(name))), name, "left_anti")
+    again = keys.where("stays = 1").select(F.col("key").alias(name))
     if again.limit(1).count():
-        out = out.unionByName(own.join(size(again), "__key", "left_semi").dropDuplicates(["__key"]))
+        out = out.unionByName(own.join(size(again), name, "left_semi").dropDuplicates([name]))
     return out.select(*docs.columns)

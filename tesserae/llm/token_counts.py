@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_path, default_pattern
-from .common import slices
+from .common import slices, small_batches
 
 #: Pre-tokens in a leaf when a tree is built; a leaf of four times as many makes it be built anew.
 LEAF = 64
@@ -160,7 +160,8 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | No
     edit = "array<struct<seq: bigint, start: bigint, end: bigint, replacement: string>>"
     if edits is not None:
         lists = edits.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))).cast(edit).alias("__edits"))
-        rows = docs.join(lists, F.col(id_col) == F.col("__id"), "left").select(id_col, F.col(text_col).cast("string"), "__edits")
+        own = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"))
+        rows = own.join(lists, F.col("__doc") == F.col("__id"), "left").select("__doc", "__text", "__edits")
     elif edits_col is not None:
         rows = docs.select(id_col, F.col(text_col).cast("string"), F.array_sort(edits_col).cast(edit).alias("__edits"))
     else:
@@ -199,4 +200,5 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | No
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, chat, flac, flac_stream, gbt, graph, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
+from tesserae.llm import bpe, chat, deal, flac, flac_stream, gbt, graph, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
 from tesserae.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n long, token string, component_id string"
@@ -41,6 +41,58 @@ def test_empty_tables(spark):
         assert f(docs).count() == 0
 
 
+def test_fits_without_labels(spark):
+    docs, none = table(spark, [prose(i, 20) for i in range(6)]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for labels in (none, spark.createDataFrame([(1, 1, 1), (None, 0, 0)], none.schema)):
+        forest, model = quality.fit_labels(docs, labels), toxicity.fit_labels(docs, labels)
+        assert quality.assess(docs.where("false"), forest).count() == 0 and toxicity.score_documents(docs.where("false"), model).count() == 0 and toxicity.reject(docs.where("false"), model).count() == 0
+        assert all(r.kept for r in quality.assess(docs, forest).collect())
+        assert all(0 <= r.score <= 1 for r in toxicity.score_documents(docs, model).collect())
+
+
+ODD = "__own long, __text string, __key string, __id string, __nth int, __source string, __size int, __copies int, __edits string, label long, node long"
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    """Rows without id, equal rows, ids of several texts; columns named as the code's own."""
+    texts = [prose(1, 30), prose(1, 30), None, "", prose(2, 30) + " mail a.b@c.org", prose(3, 40)]
+    ids = [None, None, None, 7, 7, 8]
+    rows = [(i, t, "s", len(t or ""), 1, "t", "k", "i", 2, "z", 3, 4, "e", 5, 6) for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, n_chars long, {ODD}").repartition(2)
+    model = toxicity.fit_labels(docs, spark.createDataFrame([(8, 1)], "doc_id long, toxic int"))
+    forest = quality.fit_labels(docs, spark.createDataFrame([(8, 1)], "doc_id long, quality int"))
+    one_each = [pii.find_pii(docs), ngram_join.join_documents(docs), quality.assess(docs, forest), suffix_dedup.remove_repeats(docs), mixing.mix(docs), bpe.encode_texts(docs), token_counts.count_tokens(docs), toxicity.score_documents(docs, model), flac.media_column(docs)]
+    for got in one_each:
+        assert sorted(str(r.doc_id) for r in got.collect()) == sorted(map(str, ids))
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and {r["__key"] for r in kept.collect()} == {"k"} and kept.where("text = 'x' or text is not null").count() == 4
+    mixed = mixing.repeat_documents(docs).collect()
+    assert mixed and {(r["__id"], r["__source"], r["__size"], r["__nth"], r["__copies"]) for r in mixed} == {("i", "z", 3, 2, 4)}
+    assert {r.n_chars for r in pii.redact_documents(docs).where("doc_id = 7 and text <> ''").collect()} == {len(prose(2, 30) + " mail <EMAIL>")}
+
+
+def test_keys_dealt_in_two_levels(spark, texts, monkeypatch, tmp_path):
+    """Blocks so small that each is cut again give the same answers; a table's source doesn't matter."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 40, 300).astype(np.uint64) << np.uint64(24) | np.uint64(5)) for _ in range(40)]
+    sets += [np.concatenate([sets[0][:20], sets[1][5:9]]), sets[2]]
+    sets = [np.unique(s) for s in sets]
+    rows = []
+    for batch in range(7):
+        keys, owners, _ = deal.distinct(sets[batch::7], np.uint16)
+        rows += deal.coarse_rows(keys, owners, batch)
+    blobs = spark.createDataFrame(rows, "kind long, batches binary, counts binary, keys binary, owners binary")
+    count = collections.Counter(k for s in sets for k in s.tolist())
+    inner = [deal.distinct(sets[b::7], np.uint16) for b in range(7)]
+    for size in (8 << 20, 60):
+        monkeypatch.setattr(deal, "BLOCK_BYTES", size)
+        got = collections.Counter()
+        for r in deal.counted(deal.recurring(blobs, np.uint16), np.uint16).collect():
+            got[r.idx * 7 + r.batch] += r.more
+        for i, s in enumerate(sets):
+            assert got[i] + inner[i % 7][2][i // 7] == sum(count[k] > 1 for k in s.tolist())
+
+
 # 1
 
 
