@@ -12,6 +12,7 @@ from tesserae.functions.kernel import VERBS, CompileError
 from tesserae.operators import documents as D
 from tesserae.operators import exports as E
 from tesserae.operators import notation as N
+from tesserae.operators import series as S
 from tesserae.operators import validation as V
 from tesserae.operators.builder import Builder
 from tesserae.plans.compiler import Transform, register_verb
@@ -226,3 +227,14 @@ def test_builder_and_exports(spark):
     for f in (E.to_json, E.to_xml, E.to_csv):
         assert f(rows.where("false")).count() == 0
     assert {r.doc_id: r.has for r in D.has(rows, "a.x").collect()} == {"1": True, "2": True}
+
+
+def test_quantiles_of_groups_over_many_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 20)), rng.random() * 9])) for _ in range(3000)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {r.g: (r.p, r.q, r.z) for r in df.groupBy("g").agg(F.percentile("x", F.lit(0.5)).alias("p"), F.percentile("x", F.lit(0.93)).alias("q"), F.percentile("x", F.lit(0.0)).alias("z")).collect()}
+    got = {r.g: (r.p, r.q, r.z) for r in S.group_quantiles(df, ["g"], "x", {"p": 0.5, "q": 0.93, "z": 0.0}, parts=7).collect()}
+    assert "none" not in got and all(math.isclose(a, b, abs_tol=1e-12) for g in got for a, b in zip(got[g], want[g], strict=True)) and set(got) == set(want) - {"none"}
+    stats = {r.g: r for r in S.group_statistics(df, ["g"], "x").collect()}
+    assert stats["none"].median is None and stats[None]["count"] == sum(g is None for g, _ in rows) and math.isclose(stats[None].median, want[None][0])
