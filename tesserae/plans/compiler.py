@@ -149,7 +149,8 @@ class Compiler:
         return v
 
     def extract(self, v: Value, directives) -> Value:
-        d = dict(directives)
+        """Parts of a source's text; for other sources the same directives place fields in the target."""
+        d = dict(directives) if self.plan.source_format in EXTRACTED else {}
         if "pos" in d:
             length = F.lit(int(d["len"])) if "len" in d else F.lit(1 << 30)
             v = text_value(F.substring(text0(v), F.lit(int(d["pos"]) + 1), length))
@@ -345,6 +346,10 @@ def coerced(v: Value, kind: str) -> Value:
     return v
 
 
+#: Source formats whose fields can be cut by ``:pos :len :field :trim``.
+EXTRACTED = ("fixed-width", "csv", "delimited", "flat")
+
+
 class Transform:
     """A parsed mapping, ready to be applied to DataFrames."""
 

@@ -265,7 +265,7 @@ def parse(text: str) -> Plan:
         if section:
             current = section[1]
             table = re.fullmatch(r"\$\.?table\.([^\[]+)\[([^\]]+)\]", current)
-            kind = {"$": "header", "$const": "const", "$constants": "const", "Constants": "const", "constants": "const", "$source": "source", "$accumulator": "accumulator", "$accumulators": "accumulator"}.get(current, "segment")
+            kind = {"$": "header", "$const": "const", "$constants": "const", "Constants": "const", "constants": "const", "$source": "source", "$target": "target", "$accumulator": "accumulator", "$accumulators": "accumulator"}.get(current, "segment")
             if table:
                 kind, current = "table", table[1]
                 plan.tables[current] = ([c.strip() for c in table[2].split(",")], [])
@@ -285,6 +285,8 @@ def parse(text: str) -> Plan:
             header[key] = raw
         elif kind == "source":
             plan.source[key] = plain(raw)
+        elif kind == "target":
+            plan.target[key] = plain(raw)
         elif kind == "const":
             plan.constants[key] = literal(raw).value
         elif kind == "accumulator":

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.compiler import Transform
 from ..plans.mapping import parse
 from ..sources import readers as R
+from ..sources import targets
 from ..sources import writers as W
 from .mappings import read
 
@@ -77,6 +79,14 @@ def source_key_values(spark, sf_dir):
     return df.select(F.col("n_nationkey").alias("id"), F.inline(R.key_values(F.concat(F.lit("# a comment\n"), W.as_key_values(df)))))
 
 
+@query("""SELECT p_partkey AS id, '{"p:part": {"@id": "' || p_partkey || '", "name": "' || p_name || '", "empty": "", "none": null, "nil": null, "item": ["' || p_size || '"], "n": ["1", "2"]}}' AS json FROM part""")
+def source_xml_shapes(spark, sf_dir):
+    """Empty and self-closing elements, nil, prefixes, repeats and ``item``."""
+    df = read(spark, sf_dir, "part")
+    text = F.concat(F.lit("<p:part xmlns:p='u' id='"), "p_partkey", F.lit("'><name> "), "p_name", F.lit(" </name><empty></empty><none/><nil xsi:nil='true' xmlns:xsi='x'>1</nil><item>"), "p_size", F.lit("</item><n>1</n><n>2</n></p:part>"))
+    return R.text_to_json(df.select(F.col("p_partkey").alias("id"), text.alias("value")), "xml").select("id", "json")
+
+
 @query("SELECT p_partkey AS id, p_name AS name, p_partkey::VARCHAR AS attribute FROM part")
 def source_xml(spark, sf_dir):
     df = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
@@ -106,3 +116,24 @@ def multi_record_routing(spark, sf_dir):
     return routed["Order"].select(F.lit("order").alias("kind"), "id", "detail").unionByName(routed["Customer"].select(F.lit("customer").alias("kind"), "id", "detail"))
 
 
+def _rendered(spark, sf_dir, head: str):
+    """Customers with an array of two rows, as the plan's target format has them."""
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.array(*[F.struct((F.col("c_nationkey") + i).alias("n"), F.lit("x, <y>").alias("t")) for i in range(2)]).alias("rows"))
+    t = Transform(f'{head}\n{{Head}}\nid = @.c_custkey :pos 0 :len 8 :leftPad "0" :attr\nname = @.c_name :pos 10 :len 12\n{{Line[]}}\n_each = "@.rows"\nn = @.n :pos 0 :len 4\nt = @.t :pos 4 :len 3 :rightPad "."\n')
+    return targets.render(t.plan, t.apply(df, keep=("c_custkey",)), keep=("c_custkey",))
+
+
+@query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 8, '0') || '  ' || rpad(left(c_name, 12), 12, ' ') || chr(10) || lpad(c_nationkey::VARCHAR, 4, ' ') || 'x, ' || chr(10) || lpad((c_nationkey + 1)::VARCHAR, 4, ' ') || 'x, ' AS value FROM customer")
+def sink_plan_fixed_width(spark, sf_dir):
+    return _rendered(spark, sf_dir, '{$target}\nformat = "fixed-width"')
+
+
+@query("""SELECT c_custkey, '<Head xmlns:t="urn:types" id="' || c_custkey || '">' || chr(10) || '  <name>' || c_name || '</name>' || chr(10) || '</Head>' || chr(10) || string_agg('<Line>' || chr(10) || '  <n t:type="integer">' || (c_nationkey + i) || '</n>' || chr(10) || '  <t>x, &lt;y&gt;</t>' || chr(10) || '</Line>' || chr(10), '' ORDER BY i) AS value
+    FROM customer, range(2) r(i) GROUP BY c_custkey, c_name""")
+def sink_plan_xml(spark, sf_dir):
+    return _rendered(spark, sf_dir, '{$target}\nformat = "xml"\ndeclaration = false')
+
+
+@query("""SELECT c_custkey, 'n;t' || chr(10) || c_nationkey || ';x, <y>' || chr(10) || (c_nationkey + 1) || ';x, <y>' || chr(10) AS value FROM customer""")
+def sink_plan_csv(spark, sf_dir):
+    return _rendered(spark, sf_dir, '{$target}\nformat = "csv"\ndelimiter = ";"')

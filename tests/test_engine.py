@@ -18,6 +18,7 @@ from tesserae.operators.builder import Builder
 from tesserae.plans.compiler import Transform, register_verb
 from tesserae.plans.mapping import parse, parse_expression
 from tesserae.sources import readers as R
+from tesserae.sources import targets
 from tesserae.streaming.transforms import transform_stream
 
 SF = "/root/testdata/sf0.001"
@@ -238,3 +239,28 @@ def test_quantiles_of_groups_over_many_ranges(spark):
     assert "none" not in got and all(math.isclose(a, b, abs_tol=1e-12) for g in got for a, b in zip(got[g], want[g], strict=True)) and set(got) == set(want) - {"none"}
     stats = {r.g: r for r in S.group_statistics(df, ["g"], "x").collect()}
     assert stats["none"].median is None and stats[None]["count"] == sum(g is None for g, _ in rows) and math.isclose(stats[None].median, want[None][0])
+
+
+def test_files_are_read_and_written_as_the_plan_says(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('\ufeffid;name\n1;"a ""b""; c"\n2;"two\nlines"\n')
+    cells = targets.read_source(spark, str(tmp_path / "in.csv"), parse('{$source}\nformat = "csv"\ndelimiter = ";"\n{}\nx = @.id'))
+    assert sorted(map(tuple, cells.collect())) == [("1", 'a "b"; c'), ("2", "two\nlines")]
+    (tmp_path / "rows.json").write_text('[{"id": 1, "name": "abcdefghij"}, {"id": 22, "name": null}]')
+    mapping = '{$}\ndirection = "json->fixed-width"\n{}\nid = @.id :pos 0 :len 3 :leftPad "0"\nname = @.name :pos 4 :len 8\n'
+    targets.transform_files(spark, str(tmp_path / "rows.json"), mapping, str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["001 abcdefgh", "022         "]
+    cut = Transform('{$source}\nformat = "flat"\n{}\na = @.s :pos 1 :len 2\nb = @.s :field 1\n').apply(spark.createDataFrame([("abc,de",)], "s string"))
+    assert cut.collect() == [("bc", "de")]
+    (tmp_path / "in.json").write_text('{"a": {"b": 1}, "c": [1, 2]}')
+    assert targets.read_source(spark, str(tmp_path / "in.json"), parse('{$}\ndirection = "json->xml"\n{}\nx = @.a.b')).select("a.b", "c").collect() == [(1, [1, 2])]
+    (tmp_path / "in.xml").write_text("<r><row k='1'><v>x</v></row><row k='2'/></r>")
+    rows = targets.read_source(spark, str(tmp_path / "in.xml"), parse('{$source}\nformat = "xml"\nrowTag = "row"\n{}\nx = @.v'))
+    assert sorted((r["@k"], r.v) for r in rows.collect()) == [(1, "x"), (2, None)]
+    (tmp_path / "in.properties").write_text('# c\na.b = "x"\nn = ~\n')
+    pairs = targets.read_source(spark, str(tmp_path / "in.properties"), parse('{$source}\nformat = "properties"\n{}\nx = @.v'))
+    assert sorted((r.path, r.value) for r in pairs.collect()) == [("a.b", "x"), ("n", None)]
+    (tmp_path / "in.txt").write_text("  7ab \n 12c\n")
+    fixed = R.read_fixed_width(spark, str(tmp_path / "in.txt"), [("n", 0, 3), ("s", 3, 3, False)])
+    assert sorted(map(tuple, fixed.collect())) == [("12", "c"), ("7", "ab ")]
+    with pytest.raises(CompileError):
+        targets.read_source(spark, "x", parse('{$source}\nformat = "what"\n{}\nx = @.v'))
