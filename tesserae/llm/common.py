@@ -69,6 +69,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bytes of a row group of intermediate tables: each writing task holds one in memory.
+ROW_GROUP = 8 << 20
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder; any executor can read them after others are lost."""
 
@@ -81,7 +85,7 @@ class Scratch:
         """Write ``df`` and read it back: the lineage is cut here."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

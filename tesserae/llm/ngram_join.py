@@ -29,7 +29,7 @@ import hashlib
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import deal
@@ -130,11 +130,11 @@ def _entries(sets: DataFrame) -> DataFrame:
     """(token, node, n, pos, rows): the columns to join, with their place in the row's order and how many rows have them."""
     every = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = every.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    rows = every.join(often, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("own"))
-    rows = rows.withColumn("alone", F.col("n") - F.size("own")).where(F.size("own") >= _need("n"))
-    prefix = F.col("n") - _need("n") + 1 - F.col("alone")
-    rows = rows.where(prefix > 0).select("node", "n", "alone", F.posexplode(F.slice("own", F.lit(1), prefix.cast("int"))).alias("i", "t"))
-    return rows.select(F.col("t.token").alias("token"), "node", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("t.rows").alias("rows"))
+    # Windows over a row's columns, not lists of them: what Spark sorts it can spill.
+    own, rarest = Window.partitionBy("node"), Window.partitionBy("node").orderBy("rows", "token")
+    rows = every.join(often, "token").withColumn("i", F.row_number().over(rarest)).withColumn("own", F.count("*").over(own))
+    rows = rows.where((F.col("own") >= _need("n")) & (F.col("i") <= F.col("own") - _need("n") + 1))
+    return rows.select("token", "node", "n", (F.col("n") - F.col("own") + F.col("i") - 1).alias("pos"), "rows")
 
 
 def _possible(a: str, b: str):
