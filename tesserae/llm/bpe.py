@@ -21,10 +21,11 @@ from .common import map_texts
 
 #: Code point of byte 0 in the pieces; the 256 characters from here hold no white space.
 FIRST = 0x100
-#: Entries of each generation of the worker's two memories (pieces and pre-tokens with their ids): they are bounded.
-CACHE = 400_000
+#: Entries of each generation of the worker's two memories (pieces and pre-tokens with their ids): they are bounded, and
+#: given back at a task's end.
+CACHE = 120_000
 #: Code points encoded at a time; a longer text is a slice of its own.
-SLICE = 4_000_000
+SLICE = 1_500_000
 #: Longer pre-tokens are encoded but not remembered.
 CACHE_LENGTH = 64
 
@@ -93,8 +94,9 @@ class Memory:
 class Codec:
     """Encoder and decoder for one rank file and one pre-token pattern.
 
-    Texts are cut before each space that something other than white space follows. The pattern always starts a
-    pre-token there and none reaches across, so each piece is looked up, or else split by the pattern on its own.
+    Texts are cut before each space that something other than white space follows. The known pattern always starts a
+    pre-token there and none reaches across, so each piece is looked up, or else split by the pattern on its own. Under any
+    other pattern texts are split whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -107,6 +109,11 @@ class Codec:
         self.cut = regex.compile(r" (?=\S)").split
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.single = {word: rank.to_bytes(4, "little") for rank, word in enumerate(self.ranks)}
+        self.known = pattern == default_pattern()
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memories."""
         self.chunks, self.tokens = Memory(CACHE), Memory(CACHE)
 
     def _pre_tokens(self, parts: set) -> dict[str, bytes]:
@@ -130,7 +137,10 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers; what isn't remembered is encoded together."""
         heads, rests = [], []
         for text in texts:
-            head, *rest = self.cut(text) if self.blank(text or "") else (text or "").split(" ")
+            if not self.known:
+                head, rest = text or "", []
+            else:
+                head, *rest = self.cut(text) if self.blank(text or "") else (text or "").split(" ")
             heads.append(self.find(head))
             rests.append(rest)
         chunks = self.chunks
@@ -188,6 +198,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
                 row = (len(got) // 4, hashlib.sha256(got).hexdigest(), hashlib.sha256(back).hexdigest())
                 yield row + (got, back) if ids else row
 
+        process.close = c.forget
         return process
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded binary" if ids else "")

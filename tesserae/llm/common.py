@@ -221,7 +221,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, worker,
     """One pass over (id, text) in Arrow batches, without a shuffle.
 
     ``worker()`` runs once per task and gives a function from a list of texts (None for null) to an iterable of rows,
-    in order, or of None for no row. ``fields`` is the schema of these rows; the id comes before them, unchanged, with
+    in order, or of None for no row; if it has a ``close``, that is called at the task's end. ``fields`` is the schema of these rows; the id comes before them, unchanged, with
     its type. ``most`` code points are handed over at a time (a longer text alone), which bounds memory.
     """
     import pyarrow as pa
@@ -241,6 +241,10 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, worker,
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
             release()
+        # Workers live on after a task: what it remembered goes.
+        getattr(process, "close", lambda: None)()
+        del process
+        release()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_path, default_pattern
-from .common import slices, small_batches
+from .common import release, slices, small_batches
 
 #: Pre-tokens in a leaf when a tree is built; a leaf of four times as many makes it be built anew.
 LEAF = 64
@@ -157,6 +157,8 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | No
     from pyspark.sql.types import StructField, StructType
 
     path, pattern = path or default_path(), pattern or default_pattern()
+    if pattern != default_pattern() and (edits is not None or edits_col is not None):
+        raise ValueError("how far an edit reaches is known for the default pattern only")
     edit = "array<struct<seq: bigint, start: bigint, end: bigint, replacement: string>>"
     if edits is not None:
         lists = edits.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))).cast(edit).alias("__edits"))
@@ -199,6 +201,9 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | No
                     out.append((key, total, edited, len(parts), again))
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+            release()
+        c.forget()
+        release()
 
     small_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)

@@ -38,7 +38,7 @@ PIECE = 16
 #: Words (and pieces) hashed at a time.
 PART = 20_000
 #: Words remembered with their number per worker; beyond it the memory starts anew.
-CACHE = 250_000
+CACHE = 120_000
 _EDGE = ".,;:!?\"'()[]{}|#*$%&<>"
 
 
@@ -300,6 +300,8 @@ def reject(docs: DataFrame, model: Model, *, text_col: str = "text", threshold:
             kept = [s < threshold for _, part in slices(texts, texts, 1_500_000) for s in scores(part)]
             yield batch.filter(pa.array(kept, pa.bool_()))
             release()
+        del scores
+        release()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

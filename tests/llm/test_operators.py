@@ -466,6 +466,21 @@ def test_bpe_fuzz():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == codec.encode_ordinary(t), repr(t)
 
 
+def test_bpe_with_another_pattern(spark, texts):
+    """A pattern whose pre-tokens hold spaces: texts must not be cut before them."""
+    import tiktoken
+
+    pattern = r"[a-z ]{1,7}|[\s\S]"
+    ranks = {w: i for i, w in enumerate(bpe.load_ranks(bpe.default_path()))}
+    codec = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    some = texts[:12]
+    rows = {r.doc_id: r for r in bpe.encode_texts(table(spark, some), pattern=pattern, ids=True).collect()}
+    for i, t in enumerate(some):
+        assert np.frombuffer(rows[i].ids, "<u4").tolist() == codec.encode_ordinary(t or "")
+    with pytest.raises(ValueError, match="pattern"):
+        token_counts.count_tokens(table(spark, some), pattern=pattern, edits_col="edits")
+
+
 def test_token_counts_follow_edits(spark, texts):
     codec = plain_codec()
     docs = table(spark, texts)
