@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,23 +248,25 @@ def npv(ctx, rate, flows):
     return double_value(finite(F.when(F.size(a.col) > 0, F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))))
 
 
-def newton(step, guess, rounds=100, tolerance=1e-10):
-    """Newton's method; None where the slope is flat or nothing converges."""
-    x = guess
-    for _ in range(rounds):
-        try:
-            f, slope = step(x)
-            if abs(slope) < 1e-15:
-                return None
+def newton(step, start: np.ndarray, rounds=100, tolerance=1e-10) -> np.ndarray:
+    """Newton's method on all rows of a batch at once; NaN where the slope is flat or nothing converges.
+
+    ``step`` gives values and slopes at the points of the rows (given by number) that are still on their way.
+    """
+    out = np.full(len(start), np.nan)
+    rows = np.flatnonzero(np.isfinite(start))
+    x = start[rows]
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            if not len(rows):
+                break
+            f, slope = step(x, rows)
             new = x - f / slope
-        except (ZeroDivisionError, OverflowError, TypeError, ValueError):
-            return None
-        if isinstance(new, complex):
-            return None
-        if abs(new - x) < tolerance:
-            return new
-        x = new
-    return None
+            going = np.isfinite(new) & (np.abs(slope) >= 1e-15)
+            there = going & (np.abs(new - x) < tolerance)
+            out[rows[there]] = new[there]
+            x, rows = new[going & ~there], rows[going & ~there]
+    return out
 
 
 @verb("irr", 2, "U")
@@ -273,35 +276,40 @@ def irr(ctx, flows, guess=None):
 
     @F.pandas_udf("double")
     def solve(cash: pd.Series, first: pd.Series) -> pd.Series:
-        def one(cf, x0):
-            if cf is None or not len(cf):
-                return None
-            flow = [float(c) for c in cf]
-            return newton(lambda r: (sum(c / (1 + r) ** i for i, c in enumerate(flow)), sum(-i * c / (1 + r) ** (i + 1) for i, c in enumerate(flow))), x0)
+        sizes = np.array([0 if c is None else len(c) for c in cash])
+        # Rows of a batch as one table, filled up with zeros.
+        table = np.zeros((len(sizes), max(1, sizes.max(initial=0))))
+        table[np.arange(table.shape[1]) < sizes[:, None]] = np.concatenate([np.zeros(0), *[c for c in cash if c is not None]])
+        i = np.arange(table.shape[1])
+
+        def step(r, rows):
+            terms = table[rows] * (1 + r)[:, None] ** -i
+            return terms.sum(1), (-i * terms).sum(1) / (1 + r)
 
-        return pd.Series([one(c, g) for c, g in zip(cash, first, strict=True)], dtype="float64")
+        return pd.Series(newton(step, np.where(sizes > 0, first.to_numpy(float), np.nan)))
 
-    return double_value(solve(F.transform(a.col, lambda x: F.coalesce(number(item(x, a)), F.lit(0.0))), F.coalesce(start, F.lit(0.1))))
+    return double_value(_nan_as_null(solve(F.transform(a.col, lambda x: F.coalesce(number(item(x, a)), F.lit(0.0))), F.coalesce(start, F.lit(0.1)))))
 
 
 @verb("rate", 4, "U")
 def rate(ctx, periods, pmt, pv, fv=None):
     @F.pandas_udf("double")
     def solve(n: pd.Series, p: pd.Series, v: pd.Series, w: pd.Series) -> pd.Series:
-        def one(n, p, v, w):
-            if any(pd.isna(x) for x in (n, p, v)):
-                return None
-
-            def step(r):
-                g, g1 = (1 + r) ** n, (1 + r) ** (n - 1)
-                return v * g + p * (g - 1) / r + w, v * n * g1 + p * (n * g1 * r - (g - 1)) / (r * r)
+        n, p, v, w = (x.to_numpy(float) for x in (n, p, v, w))
 
-            return newton(step, 0.1)
+        def step(r, rows):
+            a, b, c, d = n[rows], p[rows], v[rows], w[rows]
+            g, g1 = (1 + r) ** a, (1 + r) ** (a - 1)
+            return c * g + b * (g - 1) / r + d, c * a * g1 + b * (a * g1 * r - (g - 1)) / (r * r)
 
-        return pd.Series([one(*x) for x in zip(n, p, v, w, strict=True)], dtype="float64")
+        return pd.Series(newton(step, np.where(np.isnan(n + p + v), np.nan, 0.1)))
 
     future = number0(fv) if fv is not None else F.lit(0.0)
-    return double_value(solve(number(periods), number(pmt), number(pv), future))
+    return double_value(_nan_as_null(solve(number(periods), number(pmt), number(pv), future)))
+
+
+def _nan_as_null(c):
+    return F.when(~F.isnan(c), c)
 
 
 verb("zscore", 2)(lambda ctx, v, mean, sd=None: double_value(F.try_divide(number(v) - number(mean), number(sd))) if sd is not None else _zscore_array(v, mean))

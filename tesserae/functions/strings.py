@@ -83,9 +83,9 @@ def strip_accents(ctx, v):
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
         gone = {c: None for c in range(0x300, 0x370)}
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x).translate(gone))
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFD", x).translate(gone))
 
-    # Texts of plain characters don't need the Python worker's answer, but Spark can't skip it; ask only where needed.
+    # Decomposition has no counterpart among the built-in functions. Spark can't skip the worker for plain texts; these only pass.
     return text_value(strip(text(v)))
 
 

@@ -303,7 +303,12 @@ def _references(rows: DataFrame) -> DataFrame | None:
     if not most:
         return None
     targets = rows.select("doc_id", F.col("path").alias("target")).distinct()
-    lost = refs.where(~F.contains("target", F.lit("*"))).join(targets, ["doc_id", "target"], "left_anti")
+    wild = F.contains(F.col("target"), F.lit("*"))
+    lost = refs.where(~wild).join(targets, ["doc_id", "target"], "left_anti")
+    # A reference with stars is met by any path of its document that fits; all else in it is literal.
+    fits = F.concat(F.lit(r"\A\Q"), F.replace(F.col("target"), F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E\z"))
+    paths_of = targets.select(F.col("doc_id").alias("own"), F.col("target").alias("there"))
+    lost = lost.unionByName(refs.where(wild).withColumn("fits", fits).join(paths_of, (F.col("doc_id") == F.col("own")) & F.regexp_like(F.col("there"), F.col("fits")), "left_anti").drop("fits"))
     unresolved = _error(lost, "V013", F.col("path"), "unresolved reference")
     # A chain is followed by pointer doubling: after k rounds a pointer has jumped 2**k references, in the end more
     # than any document has.

@@ -4,10 +4,12 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tesserae.functions import numerics
 from tesserae.functions.kernel import VERBS, CompileError
 from tesserae.operators import documents as D
 from tesserae.operators import exports as E
@@ -264,3 +266,21 @@ def test_files_are_read_and_written_as_the_plan_says(spark, tmp_path):
     assert sorted(map(tuple, fixed.collect())) == [("12", "c"), ("7", "ab ")]
     with pytest.raises(CompileError):
         targets.read_source(spark, "x", parse('{$source}\nformat = "what"\n{}\nx = @.v'))
+
+
+def test_references_with_stars(spark):
+    values = [("a[0].x", "string", "1"), ("r1", "reference", "a[*].x"), ("r2", "reference", "b*"), ("r3", "reference", "a*x"), ("r4", "reference", "a.0..x*"), ("r5", "reference", "a[0].x")]
+    rows = spark.createDataFrame([("d", p, t, v, None) for p, t, v in values], "doc_id string, path string, type string, text string, number double")
+    assert sorted((r.code, r.path) for r in V.validate(rows, V.Schema()).collect()) == [("V013", "r2"), ("V013", "r4")]
+
+
+def test_newton_on_batches():
+    flows = np.array([[-100.0, 60, 60], [-100.0, 0, 0], [0.0, 0, 0]])
+
+    def step(r, rows):
+        i = np.arange(3)
+        terms = flows[rows] * (1 + r)[:, None] ** -i
+        return terms.sum(1), (-i * terms).sum(1) / (1 + r)
+
+    got = numerics.newton(step, np.array([0.1, 0.1, 0.1]))
+    assert abs(got[0] - 0.13066238629180753) < 1e-9 and np.isnan(got[1:]).all()
