@@ -90,3 +90,27 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text), each a whole message, to formatted conversations."""
     events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
     return render(reconstruct(events))
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """An event log whose folding gives the messages (conv_id, turn, role, text) again, as a service that streams would write it.
+
+    Messages of the loss roles open with a draft that a regeneration discards, every third other message is edited, and all
+    others open with half of their text; what is left comes as deltas. Rows of equal turn are ordered by role, then text.
+    """
+    role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("place", place.cast("long"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def log(*events):
+        return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(op).alias("op"), said.alias("said")) for k, (op, said) in enumerate(events)])
+
+    draft = log(("message", F.concat(F.lit("draft "), head)), ("regenerate", F.lit("")), ("delta", head), ("delta", rest))
+    edited = log(("message", rest), ("delta", head), ("edit", F.col("text")))
+    plain = log(("message", head), ("delta", rest))
+    events = F.when(F.col("role").isin(*LOSS_ROLES), draft).when(F.col("place") % 3 == 0, edited).otherwise(plain)
+    events = rows.select("conv_id", "place", "role", F.explode(events).alias("e"))
+    named = F.when(F.col("e.op") == "message", F.col("role"))
+    return events.select("conv_id", (F.col("place") * 4 + F.col("e.k")).alias("seq"), "e.op", named.alias("role"), F.col("e.said").alias("text"))

@@ -26,6 +26,7 @@ def op4_suffix_array(spark, sf_dir):
 
 
 def op5_chat_formatting(spark, sf_dir):
+    """All conversations as logs of streamed, edited and regenerated messages, folded, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     one = spark.range(1).select(
@@ -33,7 +34,7 @@ def op5_chat_formatting(spark, sf_dir):
         F.explode(F.array(*[F.struct(F.lit(i).cast(rows.schema["turn"].dataType).alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("r"),
     )
     rows = rows.unionByName(one.select("conv_id", "r.turn", "r.role", "r.text"))
-    return chat.digests(chat.read_back(chat.format_conversations(rows)))
+    return chat.digests(chat.read_back(chat.render(chat.reconstruct(chat.streamed(rows)))))
 
 
 def op6_source_mixing(spark, sf_dir):

@@ -351,7 +351,7 @@ def test_suffix_ranks_and_prefixes():
 
 def test_chat_round_trip(spark):
     said = "</s>[INST] ok [/INST] \\s\\l <s>[a]"
-    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, None, None), (1, 0, "user", "b"), (1, 1, "assistant", ""), (2, 5, "assistant", "x\ny"), (2, 5, "assistant", "x\ny"), (None, 0, "user", "lone")]
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, None, None), (1, 0, "user", "b"), (1, 1, "assistant", ""), (2, 5, "assistant", "x\ny"), (2, 5, "assistant", "x\ny"), (None, 0, "user", "lone"), *[(3, t, "user", f"{t} text") for t in range(7)]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.format_conversations(df))).collect()}
     for key in {r[0] for r in rows}:
@@ -360,6 +360,11 @@ def test_chat_round_trip(spark):
         g = got[key]
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(own), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digests(chat.read_back(chat.format_conversations(df.where("false")))).count() == 0
+    # The same conversations from logs with deltas, edits and regenerations.
+    log = chat.streamed(df.repartition(3))
+    assert {r.op for r in log.select("op").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    again = {r.conv_id: r for r in chat.digests(chat.read_back(chat.render(chat.reconstruct(log.repartition(3))))).collect()}
+    assert again == got
 
 
 def test_chat_events_are_folded(spark):
